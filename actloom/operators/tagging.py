@@ -15,14 +15,14 @@ Patterns = Sequence[tuple[str, str]]
 
 def tag(text: Column, patterns: Patterns = RU.CITATIONS) -> Column:
     """``array<struct<category,value>>`` of all hits, category by category."""
-    per_category = [
-        F.transform(
+
+    def of_category(category: str, pattern: str) -> Column:
+        return F.transform(
             T.hits(text, pattern),
-            lambda v, _c=category: F.struct(F.lit(_c).alias("category"), T.reference_text(v).alias("value")),
+            lambda v: F.struct(F.lit(category).alias("category"), T.reference_text(v).alias("value")),
         )
-        for category, pattern in patterns
-    ]
-    return F.concat(*per_category)
+
+    return F.concat(*[of_category(c, p) for c, p in patterns])
 
 
 def is_tagged(text: Column, patterns: Patterns = RU.CITATIONS) -> Column:
