@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BLOCK = 64
@@ -23,6 +23,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def stage(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add or replace columns so that each is computed exactly once per row.
+
+    ``withColumn`` may be inlined into later projections and even into lambda
+    bodies, where it would run once per element. A one-element ``inline`` is a
+    boundary the optimizer keeps; it is map-only.
+    """
+    keep = [c for c in df.columns if c not in columns]
+    made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*keep, made)
+
+
 def indices(arr: Column) -> Column:
     """0-based positions of an array; empty for an empty array."""
     return F.transform(arr, lambda _x, i: i)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,22 +20,59 @@ def basic_chars(col: Column) -> Column:
     return F.replace(F.replace(out, F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl"))
 
 
+def _guarded(col: Column, needed: Callable[[Column], Column], clean: Callable[[Column], Column]) -> Column:
+    """Run a chain of patterns only where a cheap necessary condition holds.
+
+    Most texts hold no contact, address or identifier at all; one scan instead of
+    one per pattern keeps cleaning affordable.
+    """
+    return let(col, lambda t: F.when(needed(t), clean(t)).otherwise(t))
+
+
 def contacts(col: Column) -> Column:
     """Remove links, e-mail addresses, phones and contact labels left empty."""
-    return T.subs(col, RU.CONTACT_PATTERNS)
+    return _guarded(
+        col,
+        lambda t: F.contains(t, F.lit("://"))
+        | F.contains(t, F.lit("@"))
+        | F.regexp_like(t, F.lit(r"(?iu)www\.|тел|факс|e-?mail|почта|(?:\+7|8)[\p{Z}\s(]{0,9}\d{3}")),
+        lambda t: T.subs(t, RU.CONTACT_PATTERNS),
+    )
 
 
 def addresses(col: Column) -> Column:
-    out = T.subs(col, (RU.ADDRESS_TO_IDENTIFIER, RU.ADDRESS_TO_SAFE_STOP), flags="isu")
-    return T.sub(out, RU.ADDRESS_LINE, flags="imu")
+    out = _guarded(
+        col,
+        lambda t: F.contains(t, F.lit(":")) & F.regexp_like(t, F.lit("(?iu)адрес|нахожд")),
+        lambda t: T.subs(t, (RU.ADDRESS_TO_IDENTIFIER, RU.ADDRESS_TO_SAFE_STOP), flags="isu"),
+    )
+    return _guarded(
+        out,
+        # Street abbreviations count only when a word character follows the dot.
+        lambda t: F.regexp_like(
+            t, F.lit(r"[\p{L}]\.[\p{L}\p{N}_]|[уУ](?iu:лиц)|[пП](?iu:роспект|ереул|лощад)|[нН](?iu:абереж)"
+                     r"|[шШ](?iu:осс)|[дД](?iu:ом[\p{Z}\s]+\d)|[бБ](?iu:ульвар|-р)|[кК](?iu:орпус)"
+                     r"|[сС](?iu:троен)|[оО](?iu:фис)")
+        ),
+        lambda t: T.sub(t, RU.ADDRESS_LINE, flags="imu"),
+    )
 
 
 def identifiers(col: Column) -> Column:
-    return T.subs(col, RU.IDENTIFIER_PATTERNS)
+    return _guarded(
+        col,
+        lambda t: F.contains(t, F.lit("(")) | F.regexp_like(t, F.lit("(?iu)огрн|инн|кпп")),
+        lambda t: T.subs(t, RU.IDENTIFIER_PATTERNS),
+    )
 
 
 def page_number_lines(col: Column) -> Column:
-    return T.subs(col, RU.PAGE_NUMBER_LINES, flags="imu")
+    """Lines that only hold a page number."""
+    return _guarded(
+        col,
+        lambda t: F.regexp_like(t, F.lit(r"(?Um)^[\s-]*(?:\w{3,8}\.?)?\s*\d{1,4}[\s/\d-]*$")),
+        lambda t: T.subs(t, RU.PAGE_NUMBER_LINES, flags="imu"),
+    )
 
 
 def first_page_lines(col: Column, is_first: Column) -> Column:
@@ -41,7 +80,11 @@ def first_page_lines(col: Column, is_first: Column) -> Column:
 
 
 def service_lines(col: Column) -> Column:
-    return T.subs(col, RU.SERVICE_LINES, flags="imu")
+    return _guarded(
+        col,
+        lambda t: F.regexp_like(t, F.lit(r"(?iu)подпис|копия|файл|arbitr|арбитр")),
+        lambda t: T.subs(t, RU.SERVICE_LINES, flags="imu"),
+    )
 
 
 def boilerplate(col: Column) -> Column:
@@ -51,6 +94,10 @@ def boilerplate(col: Column) -> Column:
 
 
 def join_hyphens(col: Column) -> Column:
+    return _guarded(col, lambda t: F.contains(t, F.lit("-")), _join_hyphens)
+
+
+def _join_hyphens(col: Column) -> Column:
     return T.sub(col, r"([А-Яа-яЁёA-Za-z])-\s*\n\s*([А-Яа-яЁёA-Za-z])", "$1$2", "u")
 
 
@@ -122,7 +169,8 @@ def running_header_lines(col: Column, case_number: Column) -> Column:
     return let(
         F.struct(col.alias("t"), case_number.alias("n")),
         lambda x: F.when(
-            x["n"].isNull() | (x["n"] == "") | ~F.contains(F.lower(x["t"]), F.lower(x["n"])), x["t"]
+            # The part after the letter has no case, so no lowering of the whole text is needed.
+            x["n"].isNull() | (x["n"] == "") | ~F.contains(x["t"], F.substr(x["n"], F.lit(2))), x["t"]
         ).otherwise(let(F.split(x["t"], "\n"), lambda lines: scan(lines, x["n"]))),
     )
 
@@ -176,11 +224,18 @@ def restore_paragraphs(col: Column) -> Column:
 
 def repair_breaks(col: Column) -> Column:
     """Mend numbers split by blanks, glued words and quotes after a legal form."""
-    out = T.sub(col, r"([АA]\d{1,4})\s*-\s*(\d+/\d{2,4})", "$1-$2", "u")
-    out = T.sub(out, r"(\d+)\s*-\s*([А-ЯЁA-Z]{1,4}\d+)", "$1-$2", "u")
-    out = T.sub(out, r"([A-Za-zА-Яа-яЁё0-9]+/\d+)\s*-\s*(\d+)", "$1-$2", "u")
+    def numbers(t: Column) -> Column:
+        out = T.sub(t, r"([АA]\d{1,4})\s*-\s*(\d+/\d{2,4})", "$1-$2", "u")
+        out = T.sub(out, r"(\d+)\s*-\s*([А-ЯЁA-Z]{1,4}\d+)", "$1-$2", "u")
+        return T.sub(out, r"([A-Za-zА-Яа-яЁё0-9]+/\d+)\s*-\s*(\d+)", "$1-$2", "u")
+
+    out = _guarded(col, lambda t: F.contains(t, F.lit("-")), numbers)
     out = F.replace(out, F.lit("счетафактуры"), F.lit(RU.GLUED_WORDS["счетафактуры"]))
-    return T.sub(out, r'\b(ООО|АО|ПАО|ЗАО)\s+([А-ЯЁA-Z][^"\n]{1,80})"', '$1 "$2"', "u")
+    return _guarded(
+        out,
+        lambda t: F.contains(t, F.lit('"')) & (F.contains(t, F.lit("АО")) | F.contains(t, F.lit("ООО"))),
+        lambda t: T.sub(t, r'\b(ООО|АО|ПАО|ЗАО)\s+([А-ЯЁA-Z][^"\n]{1,80})"', '$1 "$2"', "u"),
+    )
 
 
 def final_form(col: Column, case_number: Column) -> Column:
@@ -192,17 +247,19 @@ def final_form(col: Column, case_number: Column) -> Column:
     out = F.regexp_replace(out, F.lit("([,.!?;:])([А-Яа-яЁёA-Za-z])"), F.lit("$1 $2"))
     for glued in ("информационнотелекоммуникационной", "гражданскоправовой"):
         out = F.replace(out, F.lit(glued), F.lit(RU.GLUED_WORDS[glued]))
-    for pattern, replacement in (
-        (r'"\s+', '" '),
-        (r'\s+"', ' "'),
-        (r'"\s+([,.;:)])', '"$1'),
-        (r",\s*,+", ","),
-        (r"\(\s*,?\s*\)", ""),
-        (r"\n{3,}", "\n\n"),
-        (r" *\n\n *", "\n\n"),
-    ):
-        out = T.sub(out, pattern, replacement, "u")
-    return T.strip(out)
+
+    def quotes(t: Column) -> Column:
+        for pattern, replacement in ((r'"\s+', '" '), (r'\s+"', ' "'), (r'"\s+([,.;:)])', '"$1')):
+            t = T.sub(t, pattern, replacement, "u")
+        return t
+
+    out = _guarded(out, lambda t: F.contains(t, F.lit('"')), quotes)
+    out = F.regexp_replace(out, F.lit(r"(?U),\s*,+"), F.lit(","))
+    out = _guarded(
+        out, lambda t: F.contains(t, F.lit("(")), lambda t: T.sub(t, r"\(\s*,?\s*\)", "", "u")
+    )
+    out = F.regexp_replace(out, F.lit("\n{3,}"), F.lit("\n\n"))
+    return T.strip(F.regexp_replace(out, F.lit(" *\n\n *"), F.lit("\n\n")))
 
 
 def clean_page(col: Column, is_first: Column, case_number: Column) -> Column:

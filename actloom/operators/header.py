@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actloom.functions import text as T
-from actloom.functions.arrays import let
+from actloom.functions.arrays import let, stage
 from actloom.functions.sentences import sentences_before_capitals
 from actloom.lexicon import ru_header as H
 
@@ -271,17 +271,17 @@ def quarantine(docs: DataFrame) -> DataFrame:
 
 def case_header(docs: DataFrame) -> DataFrame:
     """One row of requisites per document with a header zone; map-only."""
-    parts = docs.filter(has_header(docs)).select(
-        "doc_id",
-        *[
-            F.left(T.header_text(zone_text(F.col("zones"), kind)), F.lit(limit)).alias(name)
+    parts = stage(
+        docs.filter(has_header(docs)).select("doc_id", "zones"),
+        **{
+            name: F.left(T.header_text(zone_text(F.col("zones"), kind)), F.lit(limit))
             for kind, name, limit in (
                 ("header", "h", 2**31 - 1),
                 ("procedural_history", "ph", H.HISTORY_LIMIT),
                 ("party_position", "pp", H.PARTY_LIMIT),
                 ("court_reasoning", "cr", H.REASONING_LIMIT),
             )
-        ],
+        },
     )
     h = F.col("h")
     return parts.select(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from actloom.functions import cleaning as C
 from actloom.functions import dates as D
 from actloom.functions import text as T
-from actloom.functions.arrays import exclusive_running_sum, first_index, let
+from actloom.functions.arrays import exclusive_running_sum, first_index, let, stage
 from actloom.functions.sentences import sentence_edge, sentence_spans
 from actloom.lexicon import ru_acts as RU
 
@@ -30,13 +30,19 @@ _SENTENCE_EDGE = sentence_edge()
 # ------------------------------------------------------------------ pages
 
 def gather_pages(pages: DataFrame) -> DataFrame:
-    """One row per document with its pages in page order (the one exchange)."""
+    """One row per document with its pages in page order (the one exchange).
+
+    Bytes are few but the regular expressions behind are many, so the exchange
+    keeps all configured partitions instead of being coalesced by size.
+    """
     page = F.struct(
         F.col("page").cast("int").alias("page"),
         T.text_or_empty(F.col("text")).alias("text"),
         F.coalesce(F.col("tables"), F.array().cast("array<string>")).alias("tables"),
     )
-    return pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = pages.repartition(n, "doc_id")
+    return spread.groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
 
 
 def clean_pages(docs: DataFrame) -> DataFrame:
@@ -45,7 +51,7 @@ def clean_pages(docs: DataFrame) -> DataFrame:
     The case number is looked up on the first page only.
     """
     first = C.basic_chars(F.get(F.col("pages"), F.lit(0))["text"])
-    docs = docs.withColumn("main_case_number", C.main_case_number(first))
+    docs = stage(docs, main_case_number=C.main_case_number(first))
 
     def cleaned(pages: Column, number: Column) -> Column:
         out = F.transform(
@@ -59,7 +65,7 @@ def clean_pages(docs: DataFrame) -> DataFrame:
         )
         return out
 
-    docs = docs.withColumn("pages", cleaned(F.col("pages"), F.col("main_case_number")))
+    docs = stage(docs, pages=cleaned(F.col("pages"), F.col("main_case_number")))
     return docs.select(
         "doc_id",
         "main_case_number",
@@ -78,7 +84,7 @@ def full_text(docs: DataFrame) -> DataFrame:
         F.transform("pages", lambda p: F.concat(F.array(p["text"]), p["tables"]))
     )
     body = T.strip(F.array_join(F.filter(parts, lambda x: x != ""), SEPARATOR))
-    return docs.withColumn("full_text", C.clean_document(body, F.col("main_case_number")))
+    return stage(docs, full_text=C.clean_document(body, F.col("main_case_number")))
 
 
 def cleaning_report(docs: DataFrame) -> DataFrame:
@@ -130,12 +136,7 @@ def assemble(docs: DataFrame) -> DataFrame:
             spans(pages).alias("page_spans"),
         ),
     )
-    return (
-        docs.withColumn("_built", built)
-        .withColumn("text", F.col("_built.text"))
-        .withColumn("page_spans", F.col("_built.page_spans"))
-        .drop("_built")
-    )
+    return stage(docs, _built=built).select("*", "_built.text", "_built.page_spans").drop("_built")
 
 
 def pages_touched(page_spans: Column, start: Column, end: Column) -> Column:
@@ -295,8 +296,11 @@ def zones_of(text: Column, page_spans: Column) -> Column:
         body = let(
             sentences,
             lambda s: let(
-                zone_starts(
-                    F.transform(s, lambda x: marker_flags(T.match_text(x["text"], blank_numbers=True)))
+                let(
+                    F.transform(
+                        s, lambda x: let(T.match_text(x["text"], blank_numbers=True), marker_flags)
+                    ),
+                    zone_starts,
                 ),
                 lambda st: body_zones(s, st),
             ),
@@ -322,7 +326,7 @@ def _concat_zones(*parts: Column) -> Column:
 
 
 def split_zones(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("zones", zones_of(F.col("text"), F.col("page_spans")))
+    return stage(docs, zones=zones_of(F.col("text"), F.col("page_spans")))
 
 
 def zone_rows(docs: DataFrame) -> DataFrame:
@@ -363,7 +367,9 @@ def zone_integrity(docs: DataFrame) -> DataFrame:
         return T.strip(T.squeeze(F.translate(c, T.NBSP, " ")))
 
     joined = T.strip(F.array_join(F.transform("zones", lambda z: z["text"]), SEPARATOR))
-    out = docs.select("doc_id", F.size("zones").alias("zones_count"), flat(F.col("text")).alias("a"), flat(joined).alias("b"))
+    out = stage(docs, a=flat(F.col("text")), b=flat(joined)).select(
+        "doc_id", F.size("zones").alias("zones_count"), "a", "b"
+    )
     la, lb = F.length("a"), F.length("b")
     same = F.col("a") == F.col("b")
     return out.select(
@@ -433,7 +439,7 @@ def sentences_of(
 
 
 def split_sentences(docs: DataFrame, lex: D.DateLexicon = RU.DATES, *, with_operative: bool = False) -> DataFrame:
-    return docs.withColumn("sentences", sentences_of(F.col("text"), F.col("zones"), lex, with_operative=with_operative))
+    return stage(docs, sentences=sentences_of(F.col("text"), F.col("zones"), lex, with_operative=with_operative))
 
 
 SENTENCE_COLUMNS = (

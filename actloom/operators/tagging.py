@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actloom.functions import text as T
+from actloom.functions.arrays import stage
 from actloom.lexicon import ru_acts as RU
 
 Patterns = Sequence[tuple[str, str]]
@@ -99,7 +100,7 @@ def mark_cited(
             "cited", s["zone_type"].isin(*zone_types) & is_tagged(T.reference_text(s["text"]), patterns)
         )
 
-    return docs.withColumn("sentences", F.transform("sentences", flag))
+    return stage(docs, sentences=F.transform("sentences", flag))
 
 
 def short_reference(category: Column, value: Column) -> Column:

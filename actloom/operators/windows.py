@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actloom.functions import text as T
-from actloom.functions.arrays import cut, indices, let, runs, unique_in_order
+from actloom.functions.arrays import cut, indices, let, runs, stage, unique_in_order
 from actloom.lexicon import ru_acts as RU
 
 MERGE_GAP = 2
@@ -21,7 +21,7 @@ def anchor_groups(is_anchor: Column, gap: int = MERGE_GAP) -> Column:
     ``is_anchor`` is ``array<boolean>``. Anchors at most ``gap`` positions apart
     belong together; the result is ``array<struct<first,last>>``.
     """
-    positions = F.filter(indices(is_anchor), lambda i: F.get(is_anchor, i))
+    positions = let(is_anchor, lambda flags: F.filter(indices(flags), lambda i: F.get(flags, i)))
 
     def islands(pos: Column) -> Column:
         starts = F.filter(
@@ -41,6 +41,13 @@ def window_spans(strong: Column, weak_only: Column, gap: int = MERGE_GAP, contex
     Strong anchors give merged windows with context; a weak anchor that is not
     strong gives a window of its own.
     """
+    return let(
+        F.struct(strong.alias("strong"), weak_only.alias("weak")),
+        lambda x: _spans(x["strong"], x["weak"], gap, context),
+    )
+
+
+def _spans(strong: Column, weak_only: Column, gap: int, context: int) -> Column:
     n = F.size(strong)
     merged = F.transform(
         anchor_groups(strong, gap),
@@ -156,7 +163,7 @@ def windows_of(sentences: Column, zone_types: Sequence[str] = RU.WINDOW_ZONES) -
 
 def build_windows(docs: DataFrame, zone_types: Sequence[str] = RU.WINDOW_ZONES) -> DataFrame:
     """Adds ``windows``; needs ``sentences`` with the ``cited`` flag."""
-    return docs.withColumn("windows", windows_of(F.col("sentences"), zone_types))
+    return stage(docs, windows=windows_of(F.col("sentences"), zone_types))
 
 
 def drop_blacklisted(sentences: DataFrame, blacklisted: DataFrame, zone_types: Sequence[str]) -> DataFrame:
@@ -198,9 +205,9 @@ def sanitize_windows(docs: DataFrame) -> DataFrame:
         return let(members, rebuild)
 
     kept = F.filter(F.transform("windows", clean), lambda w: F.size(w["date_sentence_ids"]) > 0)
-    return docs.withColumn(
-        "clean_windows",
-        F.transform(kept, lambda w, i: w.withField("window_id", F.format_string("sw%05d", i + 1))),
+    return stage(
+        docs,
+        clean_windows=F.transform(kept, lambda w, i: w.withField("window_id", F.format_string("sw%05d", i + 1))),
     )
 
 
