@@ -54,7 +54,18 @@ def parse_answer(answer: Column) -> Column:
             ),
         )
 
-    return let(F.try_parse_json(answer), build)
+    return let(strict_json(answer), build)
+
+
+def strict_json(text: Column) -> Column:
+    """VARIANT of a text that is exactly one JSON value, else NULL.
+
+    The parser ignores what follows the first value. Anything that trails it
+    breaks at least one of the two wrappers.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    keyed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(keyed.isNotNull(), F.try_variant_get(listed, "$[0]", "variant"))
 
 
 def unwrap(v: Column, depth: int = 3) -> Column:

@@ -20,7 +20,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     Catalyst inlines aliases, so an expensive expression used n times may be
     computed n times (or once per lambda call). A lambda variable never is.
     """
-    return F.element_at(F.transform(F.array(value), body), 1)
+    # The wrapper keeps defaults of ``body`` from being taken for the element index.
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
 
 def stage(df: DataFrame, **columns: Column) -> DataFrame:

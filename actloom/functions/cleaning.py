@@ -89,8 +89,16 @@ def service_lines(col: Column) -> Column:
 
 def boilerplate(col: Column) -> Column:
     """Remove procedural spans, the appeal notice and the signature block."""
-    out = T.subs(col, RU.BOILERPLATE_SPANS, flags="isu")
-    return T.subs(out, (RU.SIGNATURE_NAME, RU.SIGNATURE_BLOCK), flags="isu")
+    return _guarded(
+        col,
+        lambda t: F.regexp_like(
+            t, F.lit(r"[пП](?iu:рисутствующий|остановление[\p{Z}\s]+вступает|оскольку[\p{Z}\s]+нарушений"
+                     r"|редседательствующий)|[сС](?iu:огласно[\p{Z}\s]+части)|[иИ](?iu:ные[\p{Z}\s]+доводы)")
+        ),
+        lambda t: T.subs(
+            t, (*RU.BOILERPLATE_SPANS, RU.SIGNATURE_NAME, RU.SIGNATURE_BLOCK), flags="isu"
+        ),
+    )
 
 
 def join_hyphens(col: Column) -> Column:

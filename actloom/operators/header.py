@@ -117,7 +117,10 @@ def debtor_name(col: Column) -> Column:
     return let(
         T.header_text(col),
         lambda t: F.coalesce(
-            _first_org(_all_fragments(t, H.DEBTOR_FORMULAS)),
+            # Formula groups in order; later, costlier ones run only when needed.
+            _first_org(_all_fragments(t, H.DEBTOR_FORMULAS[:4])),
+            _first_org(_all_fragments(t, H.DEBTOR_FORMULAS[4:9])),
+            _first_org(_all_fragments(t, H.DEBTOR_FORMULAS[9:])),
             by_status(t),
             _first_org(_all_fragments(t, H.DEBTOR_PROCEEDINGS)),
         ),

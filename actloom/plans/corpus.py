@@ -107,9 +107,15 @@ def phrase() -> Column:
     return out
 
 
+def _spread(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Small files, costly parsing behind: spread rows over all partitions."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, "l_orderkey")
+
+
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One model reply per line item, in the sectioned reply format."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = _spread(spark, table(spark, sf_dir, "lineitem"))
     card = F.when(F.col("l_linenumber") % 2 == 0, "claimAndDealCard").otherwise("courtAssessmentCard")
     text = F.concat(
         F.lit("ENTITY_MAP:\nООО Поставщик "), (F.col("l_suppkey") % 10).cast("string"),
@@ -134,7 +140,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON answer per line item; values, quotes and wrappers vary by column."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = _spread(spark, table(spark, sf_dir, "lineitem"))
     qty, part, supp = F.col("l_quantity").cast("int"), F.col("l_partkey"), F.col("l_suppkey")
 
     def pick(n: Column, *values: str) -> Column:

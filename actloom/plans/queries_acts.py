@@ -35,7 +35,7 @@ raw AS (
          CASE s WHEN 'D' THEN dated WHEN 'P' THEN 'Довод проверен судами.'
            WHEN 'C' THEN 'Вопрос разрешен по правилам статьи 71 АПК РФ.' ELSE 'Срок истек в 2019 года.' END
   FROM (SELECT *, unnest(kinds) AS s, generate_subscripts(kinds, 1) AS i
-        FROM (SELECT *, list_concat(['D'], list_transform(range(k), x -> 'P'),
+        FROM (SELECT *, list_concat(['D'], list_resize(['P'], k, 'P'),
                  CASE WHEN st = 'O' THEN ['C'] ELSE [] END,
                  CASE WHEN st = 'P' THEN ['W'] ELSE [] END) AS kinds FROM lines))),
 reasoning AS (
@@ -71,13 +71,15 @@ built AS (
   SELECT doc_id, weak, lo, min(global_index) AS g0, max(global_index) AS g1,
          min(zone_index) AS z0, max(zone_index) AS z1,
          count(*) AS members, count(*) FILTER (anchor) AS anchors,
-         string_agg(CASE WHEN anchor THEN '* ' ELSE '- ' END || text, chr(10) ORDER BY pos) AS text,
-         list(d ORDER BY pos) FILTER (anchor AND d IS NOT NULL) AS ds
+         string_agg(CASE WHEN anchor THEN '* ' ELSE '- ' END || text, chr(10) ORDER BY pos) AS text
   FROM members GROUP BY doc_id, weak, lo),
+dated AS (
+  SELECT doc_id, weak, lo, d, min(pos) AS p FROM members WHERE anchor AND d IS NOT NULL GROUP BY ALL),
+date_lists AS (
+  SELECT doc_id, weak, lo, string_agg(d, ',' ORDER BY p) AS dates FROM dated GROUP BY ALL),
 numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY g0, weak) AS w,
-         array_to_string(list_filter(ds, (x, i) -> list_position(ds, x) = i), ',') AS dates
-  FROM built)"""
+  SELECT built.*, dates, row_number() OVER (PARTITION BY doc_id ORDER BY g0, weak) AS w
+  FROM built LEFT JOIN date_lists USING (doc_id, weak, lo))"""
 )
 
 
