@@ -9,16 +9,12 @@ from actloom.functions import text as T
 from actloom.functions.arrays import let
 
 
-def _is(kind: str, v: Column) -> Column:
-    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit(kind)), F.lit(False))
-
-
 def is_object(v: Column) -> Column:
-    return _is("OBJECT", v)
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
 def is_array(v: Column) -> Column:
-    return _is("ARRAY", v)
+    return F.try_variant_get(v, "$", "array<variant>").isNotNull()
 
 
 def _at(v: Column, path: str) -> Column:
@@ -34,8 +30,10 @@ def parse_answer(answer: Column) -> Column:
 
     def useful(v: Column) -> Column:
         result = _at(v, "$.result")
+        plain = F.startswith(answer, F.lit("{")) & ~F.contains(answer, F.lit('"result"'))
         part = (
-            F.when(is_array(v), _at(v, "$[0]"))
+            F.when(plain, v)
+            .when(is_array(v), _at(v, "$[0]"))
             .when(is_object(v) & is_array(result), _at(result, "$[0]"))
             .when(is_object(v) & is_object(result), result)
             .when(is_object(v), v)

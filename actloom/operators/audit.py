@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from actloom.functions import answers as A
 from actloom.functions import text as T
-from actloom.functions.arrays import let
+from actloom.functions.arrays import let, stage
 from actloom.lexicon import audit as L
+from actloom.session import cut_lineage
 
 FEATURE_COLUMNS = (
     "doc_id", "extractor_seq", "extractor", "path", "value",
@@ -89,28 +90,38 @@ def values_conflict(left: Column, right: Column) -> Column:
 
 def judged(features: DataFrame) -> DataFrame:
     """Adds normalised value, key and the known / evidence / accepted flags."""
-    out = features.withColumn("value", normalize_binary(F.col("path"), F.col("value")))
-    known = ~is_unknown(F.col("value"))
+    out = stage(features, value=normalize_binary(F.col("path"), F.col("value")))
     evidence = ~F.col("is_feature") | has_evidence(F.col("evidence_quote"), F.col("evidence_source"))
-    return (
-        out.withColumn("value_key", semantic_key(F.col("value")))
-        .withColumn("known", known)
-        .withColumn("accepted", F.col("known") & evidence)
-        .withColumn("quoted", T.audit_text(F.col("evidence_quote")) != "")
+    out = stage(
+        out,
+        value_key=semantic_key(F.col("value")),
+        known=~is_unknown(F.col("value")),
+        quoted=T.audit_text(F.col("evidence_quote")) != "",
+        _evidence=evidence,
     )
+    return out.withColumn("accepted", F.col("known") & F.col("_evidence")).drop("_evidence")
 
 
 # ----------------------------------------------------------- reading of answers
 
 def read_answers(responses: DataFrame) -> DataFrame:
     """Adds ``answer`` (unwrapped object as JSON text) and ``parse_error``."""
-    out = responses.withColumn("_p", A.parse_answer(F.col("answer_text")))
+    text = F.col("answer_text")
     ready = ~F.coalesce(F.col("skipped"), F.lit(False)) & F.col("error").isNull()
-    return out.select(
-        *[c for c in responses.columns if c != "parse_error"],
-        F.when(ready, F.col("_p.parse_error")).alias("parse_error"),
-        F.when(ready, F.to_json(A.unwrap(F.col("_p.answer")))).alias("answer"),
+    parsed = stage(
+        responses.select(*[c for c in responses.columns if c != "parse_error"]),
+        _p=F.when(ready, A.parse_answer(text)),
+    )
+    # A plain object without wrapper keys is its own unwrapped form.
+    plain = (
+        F.startswith(text, F.lit("{"))
+        & ~F.contains(text, F.lit('"result"'))
+        & ~F.contains(text, F.lit('"annotation"'))
     )
+    answer = F.when(F.col("_p.answer").isNull(), F.lit(None).cast("string")).when(plain, text).otherwise(
+        F.to_json(A.unwrap(F.col("_p.answer")))
+    )
+    return stage(parsed, parse_error=F.col("_p.parse_error"), answer=answer).drop("_p")
 
 
 def section_rows(answers: DataFrame) -> DataFrame:
@@ -134,8 +145,8 @@ def features_from_sections(sections: DataFrame) -> DataFrame:
         F.arrays_overlap(keys, F.array(*[F.lit(k) for k in ("value", "evidence_quote", "evidence_source", "confidence")])),
         F.lit(False),
     )
-    parsed = rows.withColumn("is_feature", is_feature).withColumn(
-        "f", F.when(F.col("is_feature"), F.from_json("raw", _FEATURE_TYPE))
+    parsed = stage(
+        stage(rows, is_feature=is_feature), f=F.when(F.col("is_feature"), F.from_json("raw", _FEATURE_TYPE))
     )
     return parsed.select(
         "doc_id", "extractor_seq", "extractor",
@@ -288,8 +299,10 @@ def feature_conflicts(flagged: DataFrame, won: DataFrame) -> DataFrame:
 
 
 def merge_features(features: DataFrame) -> Merged:
-    flagged = judged(features)
-    won = winners(flagged)
+    """Merge of all extractors. Flags and winners are read many times by the checks,
+    so both are materialised in the shared checkpoint folder."""
+    flagged = cut_lineage(judged(features))
+    won = cut_lineage(winners(flagged))
     conflicts = feature_conflicts(flagged, won)
     warned = conflicts.select("doc_id", "path").distinct().withColumn(
         "audit_warning", F.lit("conflict_detected_manual_review_required")
@@ -768,11 +781,11 @@ def audit_merged(
 ) -> Audit:
     """Audit of merged features. ``docs`` lists every document to be audited."""
     base = docs.select("doc_id").distinct()
-    wide = derived_category(
+    wide = cut_lineage(derived_category(
         base.join(accepted_wide(merged.annotation), "doc_id", "left")
         .na.fill("unknown", [wide_name(p) for p in RULE_PATHS])
         .withColumn("present_paths", F.coalesce("present_paths", F.array().cast("array<string>")))
-    )
+    ))
     annotation = merged.annotation.filter(F.col("path") != L.BASKET).unionByName(
         derived_features(wide), allowMissingColumns=True
     )
@@ -867,7 +880,7 @@ def refill_tasks(missing: DataFrame, conflicts: DataFrame, logic: DataFrame) ->
 
 def audit_responses(responses: DataFrame, headers: DataFrame | None = None, docs: DataFrame | None = None) -> Audit:
     """Whole audit: answers -> sections -> features -> merge -> checks -> status."""
-    answers = read_answers(responses)
+    answers = cut_lineage(read_answers(responses))
     sections = section_rows(answers)
     features = features_from_sections(sections)
     if headers is not None:
@@ -887,9 +900,8 @@ def apply_refinements(annotation: DataFrame, refinements: DataFrame) -> DataFram
     answer_text, error``. A path that already has an accepted value is never
     overwritten; of several good candidates the first one counts.
     """
-    r = refinements.withColumn("_p", A.parse_answer(F.col("answer_text"))).withColumn(
-        "partial", F.to_json(A.unwrap(F.col("_p.answer")))
-    )
+    r = stage(refinements, _p=A.parse_answer(F.col("answer_text")))
+    r = stage(r, partial=F.to_json(A.unwrap(F.col("_p.answer"))))
     failed = F.col("error").isNotNull() | F.col("_p.parse_error").isNotNull()
     targets = r.select(
         "doc_id", "extractor_seq", "extraction_type", failed.alias("failed"),
