@@ -468,6 +468,39 @@ SELECT doc_id, basket, CASE basket WHEN 'sham_or_fictitious_debt' THEN 'high' WH
       || '|qualification.legal_qualification=included_general|qualification.key_reason_category=market_behavior'
     WHEN 'contractual_subordination' THEN 'qualification indicates corporate nature' ELSE '' END AS rules FROM bask""",
     "rule_violations": f"WITH {_FEATURES} SELECT reason, severity, count(*) AS n FROM issues GROUP BY 1, 2",
+    "missing_required": f"""
+WITH {_FEATURES},
+k AS (SELECT unnest(['claim.claim_type','claim.claim_origin','creditor_profile.creditor_status','creditor_profile.control_found',
+  'proof.court_recognized_debt_real','qualification.legal_qualification','qualification.key_reason_category']) AS path),
+p AS (SELECT DISTINCT doc_id, path FROM feat)
+SELECT 'annotation.' || k.path AS path, CASE WHEN p.path IS NULL THEN 'missing_field' ELSE 'unknown_or_unaccepted_field' END AS reason,
+  'absolute_key' AS priority, count(*) AS n
+FROM orders, k LEFT JOIN p ON p.doc_id = o_orderkey AND p.path = k.path LEFT JOIN win w ON w.doc_id = o_orderkey AND w.path = k.path
+WHERE w.value IS NULL GROUP BY 1, 2
+UNION ALL
+SELECT 'annotation.economic_dispute.economic_dispute_basket', 'unknown_or_unaccepted_field', 'absolute_key', count(*) FROM bask WHERE basket = 'unknown'
+UNION ALL
+SELECT 'annotation.' || path, 'missing_field', 'absolute_key', (SELECT count(*) FROM orders) FROM (SELECT unnest([
+  'creditor_profile.formal_affiliation_found','creditor_profile.factual_affiliation_found','crisis.crisis_status',
+  'proof.performance_fact_proven','proof.court_doubted_reality','proof.court_found_sham_or_artificial']) AS path)
+UNION ALL
+SELECT 'annotation.' || path, 'missing_field', 'soft_key', (SELECT count(*) FROM orders) FROM (SELECT unnest([
+  'claim.emergence_timing','creditor_profile.connection_basis_primary','crisis.creditor_knew_crisis','crisis.creditor_should_have_known_crisis',
+  'behavior.new_financing_provided','behavior.left_funds_in_debtor','behavior.did_not_demand_repayment','behavior.changed_contract_terms',
+  'behavior.extended_maturity','behavior.obtained_security','behavior.obtained_preference','behavior.participated_in_management',
+  'behavior.acted_as_market_creditor','market_terms.economic_sense_present','market_terms.market_conditions_overall',
+  'proof_burden.heightened_standard_applied','proof_burden.burden_to_remove_doubts_on_creditor','proof_burden.creditor_rebutted_doubts']) AS path)""",
+    "manual_review": f"""
+WITH {_FEATURES}
+SELECT path, 'field_conflict' AS reason, count(*) AS n FROM conf GROUP BY 1
+UNION ALL
+SELECT 'schema_extractions.line', 'extractor_parse_or_runtime_error', count(*) FROM ans WHERE NOT valid
+UNION ALL
+SELECT CASE
+    WHEN reason LIKE 'creditor_status=independent%' THEN 'annotation.creditor_profile.creditor_status, annotation.creditor_profile.formal_affiliation_found, annotation.creditor_profile.factual_affiliation_found, annotation.creditor_profile.control_found'
+    WHEN reason LIKE 'creditor_status%' THEN 'annotation.creditor_profile.creditor_status, annotation.creditor_profile.control_found'
+    ELSE 'annotation.qualification.legal_qualification, annotation.qualification.key_reason_category' END, reason, count(*)
+FROM issues WHERE severity = 'critical' GROUP BY 1, 2""",
     "audit_status": f"""
 WITH {_FEATURES}{_PER_DOC}
 SELECT doc_id, overall_status, field_conflicts_count, rejected_fields_count, critical_logic_count,
