@@ -1,10 +1,13 @@
 """Registered queries of the operators, and their SQL where SQL can express them."""
 
-from actloom.llm import byte_bpe, sharding
+from actloom.llm import byte_bpe, quality_rules, quality_trees, sharding, toxicity
 
 QUERIES = {
     "op1_shard_documents": sharding.query,
+    "op2_toxic_segments": toxicity.query,
+    "op3_quality_rules": quality_rules.query,
     "op5_byte_bpe": byte_bpe.query,
+    "op10_quality_trees": quality_trees.query,
 }
 ORACLES = {
     "op1_shard_documents": sharding.ORACLE,
