@@ -1,11 +1,12 @@
 """Registered queries of the operators, and their SQL where SQL can express them."""
 
-from actloom.llm import byte_bpe, decontamination, near_duplicates, quality_rules, quality_trees, sharding, toxicity
+from actloom.llm import byte_bpe, decontamination, html_text, near_duplicates, quality_rules, quality_trees, sharding, toxicity
 
 QUERIES = {
     "op1_shard_documents": sharding.query,
     "op2_toxic_segments": toxicity.query,
     "op3_quality_rules": quality_rules.query,
+    "op4_html_text": html_text.query,
     "op5_byte_bpe": byte_bpe.query,
     "op6_decontamination": decontamination.query,
     "op8_near_duplicates": near_duplicates.query,
