@@ -1,6 +1,6 @@
 """Registered queries of the operators, and their SQL where SQL can express them."""
 
-from actloom.llm import byte_bpe, decontamination, html_text, near_duplicates, quality_rules, quality_trees, sharding, toxicity
+from actloom.llm import byte_bpe, decontamination, html_text, near_duplicates, personal_data, quality_rules, quality_trees, sharding, toxicity
 
 QUERIES = {
     "op1_shard_documents": sharding.query,
@@ -9,11 +9,13 @@ QUERIES = {
     "op4_html_text": html_text.query,
     "op5_byte_bpe": byte_bpe.query,
     "op6_decontamination": decontamination.query,
+    "op7_personal_data": personal_data.query,
     "op8_near_duplicates": near_duplicates.query,
     "op10_quality_trees": quality_trees.query,
 }
 ORACLES = {
     "op1_shard_documents": sharding.ORACLE,
     "op6_decontamination": decontamination.ORACLE,
+    "op7_personal_data": personal_data.query,
     "op8_near_duplicates": near_duplicates.ORACLE,
 }
