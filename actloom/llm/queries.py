@@ -1,6 +1,17 @@
 """Registered queries of the operators, and their SQL where SQL can express them."""
 
-from actloom.llm import byte_bpe, decontamination, html_text, near_duplicates, personal_data, quality_rules, quality_trees, sharding, toxicity
+from actloom.llm import (
+    byte_bpe,
+    decontamination,
+    html_text,
+    language_model,
+    near_duplicates,
+    personal_data,
+    quality_rules,
+    quality_trees,
+    sharding,
+    toxicity,
+)
 
 QUERIES = {
     "op1_shard_documents": sharding.query,
@@ -11,6 +22,7 @@ QUERIES = {
     "op6_decontamination": decontamination.query,
     "op7_personal_data": personal_data.query,
     "op8_near_duplicates": near_duplicates.query,
+    "op9_language_model": language_model.query,
     "op10_quality_trees": quality_trees.query,
 }
 ORACLES = {
