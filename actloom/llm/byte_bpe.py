@@ -51,6 +51,10 @@ class Ranks:
     def __init__(self, path: str):
         with open(path, "rb") as lines:
             self.ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.index()
+
+    def index(self) -> None:
+        """Tables made from the ids: bytes, decimals, and the id that each mergeable pair becomes."""
         self.bytes_of = {v: k for k, v in self.ids.items()}
         self.decimal = {v: str(v) for v in self.bytes_of}
         self.single = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)

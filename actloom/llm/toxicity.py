@@ -30,7 +30,7 @@ from actloom.llm.quality_trees import training_rows
 #: Labelled rows that are fitted on, drawn evenly by a hash of the id; all where there are fewer.
 MAX_TRAIN = 20_000
 #: Prior mass in documents, deviations below the estimate that count, cost of any other token, significance.
-PRIOR, DEVIATIONS, DRIFT, LEVEL = 20.0, 4.0, 0.15, 0.05
+PRIOR, DEVIATIONS, DRIFT, LEVEL = 20.0, 2.5, 0.15, 0.05
 #: A token must be at least twice as frequent in toxic documents to score.
 MARGIN = float(np.log(2))
 #: Distinct words that a worker keeps the gain of.
@@ -209,12 +209,11 @@ def fit(df: DataFrame, labelled: DataFrame, usable, at_most: int = MAX_TRAIN) ->
     # Median of S over clean texts that have a segment gives K: P(S >= x) = share, as the law says.
     tail = sorted((model.rate * r.s - np.log(max(r.n, 1)) for r in got if r.y == 0 and r.s > 0), reverse=True)
     clean = sum(1 for r in got if r.y == 0)
-    if tail and clean:
-        at = len(tail) // 2
-        share = min((at + 1) / (clean + 1), 0.999)
-        model.scale = float(-np.log1p(-share) * np.exp(tail[at]))
-    else:
-        model.scale = float(max(len(gains), 1))
+    if not tail and len(gains):  # as if one clean text more had the least segment
+        tail = [model.rate * float(gains.min()) - np.log(max(np.mean([max(r.n, 1) for r in got]), 1))]
+    at = len(tail) // 2
+    share = min((at + 1) / (clean + 1), 0.999)
+    model.scale = float(-np.log1p(-share) * np.exp(tail[at])) if tail else 1.0
 
     def evidence(cols: dict) -> dict:
         return {"y": cols["y"], "e": [model.evidence(t)[0] for t in cols["text"]]}
