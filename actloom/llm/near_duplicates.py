@@ -10,8 +10,8 @@ two million. Candidates within `reach` components are confirmed on the full sets
 Equal sets form a class first; only classes are indexed. In a bucket every member is compared with the bucket's
 least member (the hub); links found so far are closed to components. Then only members of one bucket that are
 still in different components are compared with each other, in tiles of at most TILE x TILE members, each
-pair in one bucket alone. So a large group of copies never turns into all its pairs, and no link between
-components is lost.
+pair in one bucket alone, and a tile returns only links that join components. So a large group of copies never
+turns into all its pairs, and no link between components is lost.
 
 Components come from contraction: every vertex moves to its neighbour of least hash until no edge is left.
 
@@ -39,7 +39,7 @@ CHUNKS = COMPONENTS // CHUNK
 KEYS = CHUNKS * CHUNK
 GUARANTEED = CHUNKS * (ERRORS + 1) - 1
 #: Members of a bucket that one task compares with as many others.
-TILE = 1024
+TILE = 256
 #: Distinct words that a worker keeps the hash of.
 REMEMBER = 500_000
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
@@ -155,14 +155,6 @@ def index(classes: DataFrame) -> DataFrame:
     return map_rows(classes.select("id", "signature"), "key long, number int, id long", make, rows_at_once=2048)
 
 
-def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing components of each signature of a from each of b."""
-    out = np.zeros((len(a), len(b)), np.int16)
-    for k in range(COMPONENTS):
-        out += a[:, k, None] != b[None, :, k]
-    return out
-
-
 def first_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Number of the first key that each of a shares with the like row of b."""
     differ = (a != b).reshape(-1, CHUNKS, CHUNK)
@@ -171,37 +163,59 @@ def first_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return chunk * CHUNK + inside.argmax(1)
 
 
-def close_pairs(members: DataFrame, reach: int, percent: int) -> DataFrame:
-    """a, b: pairs of one bucket in different components, in the first of the buckets that they share.
-    members: key, number, id, root, n, signature, tile, left, right (whether the row is on that side)."""
+class Forest:
+    """Union-find over a tile's roots."""
+
+    def __init__(self, roots: np.ndarray):
+        self.values, self.number = np.unique(roots, return_inverse=True)
+        self.label = np.arange(len(self.values))
+
+    def labels(self) -> np.ndarray:
+        """The present tree of every row."""
+        return self.label[self.number]
+
+    def unite(self, x: int, y: int) -> None:
+        self.label[self.label == self.label[self.number[x]]] = self.label[self.number[y]]
 
-    def pairs(table: pa.Table) -> pa.Table:
+
+def tile_links(members: DataFrame, reach: int, percent: int) -> DataFrame:
+    """a, b: confirmed links between different components among the members of a tile, at most one fewer than it
+    has components. A pair is looked at in the first of the buckets that it shares, and not at all once its
+    components are joined. members: key, number, tile, id, root, left, right (sides the row is on), shingles,
+    signature."""
+
+    def links(table: pa.Table) -> pa.Table:
         number = table.column("number")[0].as_py()
-        ids, root, n = (table.column(c).to_numpy() for c in ("id", "root", "n"))
+        ids, root = (table.column(c).to_numpy() for c in ("id", "root"))
         left, right = (table.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
         signed = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, COMPONENTS)
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        rows, cols = np.flatnonzero(left), np.flatnonzero(right)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        n = np.array([len(x) for x in sets])
+        forest, found = Forest(root), []
         values, counts = np.unique(root, return_counts=True)
-        most = values[counts.argmax()]
-        # Pairs inside the largest component need no look: its rows are compared as columns only.
-        both = np.concatenate([rows[root[rows] != most], cols[root[cols] != most]])
-        for start in range(0, len(both), 128):
-            block = both[start : start + 128]
-            far = apart(signed[block], signed)
-            good = (far <= reach) & (root[block][:, None] != root[None, :])
-            good &= 100 * np.minimum(n[block][:, None], n[None, :]) >= percent * np.maximum(n[block][:, None], n[None, :])
-            good &= (left[block][:, None] & right[None, :]) | (right[block][:, None] & left[None, :])
-            i, j = np.nonzero(good)
-            i = block[i]
-            mine = first_keys(signed[i], signed[j]) == number
-            i, j = i[mine], j[mine]
-            out_a.append(np.minimum(ids[i], ids[j]))
-            out_b.append(np.maximum(ids[i], ids[j]))
-        found = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0)
-        return pa.table({"a": found[:, 0].astype(np.int64), "b": found[:, 1].astype(np.int64)})
-
-    return members.groupBy("key", "tile").applyInArrow(pairs, "a long, b long")
+        # Rows outside the largest component meet all others; pairs inside it need no look.
+        for i in np.flatnonzero(root != values[counts.argmax()]):
+            label = forest.labels()
+            good = label != label[i]
+            good &= 100 * np.minimum(n[i], n) >= percent * np.maximum(n[i], n)
+            good &= (left[i] & right) | (right[i] & left)
+            j = np.flatnonzero(good)
+            j = j[(signed[j] != signed[i]).sum(1) <= reach]
+            j = j[first_keys(np.broadcast_to(signed[i], (len(j), COMPONENTS)), signed[j]) == number]
+            if not len(j):
+                continue
+            flat = np.concatenate([sets[x] for x in j])
+            at = np.minimum(np.searchsorted(sets[i], flat), n[i] - 1)
+            common = np.add.reduceat((sets[i][at] == flat).astype(np.int64), np.cumsum(n[j]) - n[j])
+            for x in j[100 * common >= percent * (n[i] + n[j] - common)]:
+                label = forest.labels()
+                if label[x] != label[i]:
+                    forest.unite(x, i)
+                    found.append((min(ids[i], ids[x]), max(ids[i], ids[x])))
+        out = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": out[:, 0], "b": out[:, 1]})
+
+    return members.groupBy("key", "tile").applyInArrow(links, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -226,14 +240,20 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def set_table(df: DataFrame, needed: DataFrame, width: int) -> DataFrame:
-    """id and shingles of the classes that a pair needs."""
+    """id, shingles and signature of the classes that share a bucket."""
 
     def make():
         shingles = Shingles(width)
-        return lambda cols: {"id": cols["id"], "shingles": [shingles.of(t).tobytes() for t in cols["text"]]}
+
+        def work(cols: dict) -> dict:
+            sets = [(i, s) for i, t in zip(cols["id"], cols["text"]) if len(s := shingles.of(t))]
+            signed = signatures([s for _, s in sets]) if sets else []
+            return {"id": [i for i, _ in sets], "shingles": [s.tobytes() for _, s in sets], "signature": [g.tobytes() for g in signed]}
+
+        return work
 
     texts = df.withColumnRenamed("doc_id", "id").join(needed, "id")
-    return map_rows(texts, "id long, shingles binary", make)
+    return map_rows(texts, "id long, shingles binary, signature binary", make)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -315,8 +335,8 @@ def link(df: DataFrame, percent: int = 85, width: int = WIDTH, tile: int = TILE)
         "key", "number", "id", "root",
         (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("tile"),
         (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right"),
-    ).join(signed, "id")
-    more = stage_table(confirmed(close_pairs(tiled, reach, percent), sets, percent), "more-links")
+    ).join(sets, "id")
+    more = stage_table(tile_links(tiled, reach, percent), "more-links")
     if not more.isEmpty():
         roots = components(sure.unionByName(more), "roots")
     least = roots.groupBy("root").agg(F.min("id").alias("component_id"))
