@@ -1,7 +1,7 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
 Words are hashed; the hashes of GRAM consecutive words make k-grams. Of every SPAN consecutive k-grams the
-least is kept, so two texts that share WINDOW = SPAN + GRAM - 1 words keep a k-gram in common. Kept k-grams of
+least is kept (all that are equal), so two texts that share WINDOW = SPAN + GRAM - 1 words keep a k-gram in common. Kept k-grams of
 documents meet those of the benchmark; each hit is extended to the windows around it, and windows are compared
 by their words with the item's, so a span counts exactly if its words agree. Items of fewer words than a window
 are looked for whole, among the documents' k-grams of that very length.
@@ -42,12 +42,21 @@ def grams(hashes: str, width: int) -> Column:
     )
 
 
-def winnowed(gram_hashes: str) -> Column:
-    """Places of the k-grams that are least in some run of SPAN (the last of equal ones), of texts that hold a window."""
-    run = ", ".join(f"struct({gram_hashes}[i + {j}] AS h, -(i + {j}) AS p)" for j in range(SPAN))
+def run_minima(gram_hashes: str) -> Column:
+    """The least of each SPAN consecutive k-gram hashes; none where there are fewer."""
+    run = ", ".join(f"{gram_hashes}[i + {j}]" for j in range(SPAN))
     return F.expr(
-        f"CASE WHEN size({gram_hashes}) >= {SPAN} THEN "
-        f"array_distinct(transform(sequence(0, size({gram_hashes}) - {SPAN}), i -> least({run}))) END"
+        f"CASE WHEN size({gram_hashes}) >= {SPAN} THEN transform(sequence(0, size({gram_hashes}) - {SPAN}), i -> least({run})) END"
+    )
+
+
+def winnowed(gram_hashes: str, minima: str) -> Column:
+    """(h, p) of the k-grams that are least in some run they lie in (all of equal ones); a run's minimum is at most
+    each of its members, so a k-gram is one where the greatest minimum of its runs equals it."""
+    runs = ", ".join(f"get({minima}, k.p - {j})" for j in range(SPAN))
+    return F.expr(
+        f"CASE WHEN {minima} IS NOT NULL THEN filter(transform({gram_hashes}, (x, i) -> struct(x AS h, i AS p)), "
+        f"k -> k.h = greatest({runs})) END"
     )
 
 
@@ -70,8 +79,8 @@ def benchmark_tables(items: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]
         f"ELSE transform(sequence(1, size(w) - {WINDOW - 1}), i -> slice(w, i, {WINDOW})) END) AS window"
     )).distinct().withColumn("window_hash", F.xxhash64("window"))
     short = sorted(r.n for r in items.filter(F.size("w") < WINDOW).select(F.size("w").alias("n")).distinct().collect())
-    prints = items.withColumn("g", F.explode(F.array(grams("wh", GRAM)))).select(
-        F.lit(WINDOW).alias("kind"), F.explode(winnowed("g")).alias("x")
+    prints = items.withColumn("g", grams("wh", GRAM)).withColumn("m", run_minima("g")).select(
+        F.lit(WINDOW).alias("kind"), F.explode(winnowed("g", "m")).alias("x")
     ).select("kind", F.col("x.h").alias("h"))
     for n in short:
         whole = items.filter(F.size("w") == n).select(F.lit(n).alias("kind"), grams("wh", n)[0].alias("h"))
@@ -84,7 +93,7 @@ def document_prints(docs: DataFrame, short: list[int]) -> DataFrame:
     with its number of words as p."""
     kept = [
         "array(struct(0 AS kind, 0L AS h, size(w) AS p))",
-        f"coalesce(transform(kept, k -> struct({WINDOW} AS kind, k.h AS h, -k.p AS p)), array())",
+        f"coalesce(transform(kept, k -> struct({WINDOW} AS kind, k.h AS h, k.p AS p)), array())",
     ]
     for n in short:
         parts = ", ".join(f"wh[i + {j}]" for j in range(n))
@@ -93,7 +102,8 @@ def document_prints(docs: DataFrame, short: list[int]) -> DataFrame:
             f"i -> struct({n} AS kind, xxhash64({parts}) AS h, i AS p)) ELSE array() END"
         )
     rows = hashed(docs.withColumn("text_key", F.xxhash64("text")))
-    for name, made in (("g", grams("wh", GRAM)), ("kept", winnowed("g")), ("prints", F.expr(f"concat({', '.join(kept)})"))):
+    steps = (("g", grams("wh", GRAM)), ("m", run_minima("g")), ("kept", winnowed("g", "m")), ("prints", F.expr(f"concat({', '.join(kept)})")))
+    for name, made in steps:
         rows = rows.withColumn(name, F.explode(F.array(made)))
     return rows.select("doc_id", "text_key", "w", F.explode("prints").alias("x"))
 
