@@ -235,7 +235,7 @@ def learn_weights(rows: DataFrame, model: Model, groups: int) -> None:
 def maximised(p: np.ndarray, n: np.ndarray, steps: int = 100) -> np.ndarray:
     """EM for mixture weights: p are the components' probabilities of each kind of token, n how many there are."""
     w = np.full(3, 1 / 3)
-    if not len(p):
+    if not n.sum():
         return w
     for _ in range(steps):
         part = p * w
@@ -373,7 +373,10 @@ def score_documents(df: DataFrame, part, contexts: int = CONTEXTS, group_tokens:
     rows = narrow(df).select("doc_id", "text", part.cast("int").alias("part"))
     model = count_contexts(rows, contexts)
     groups = max(1, -(-model.tokens // group_tokens))
-    learn_weights(rows, model, groups)
+    if model.tokens:
+        learn_weights(rows, model, groups)
+    else:
+        model.weights[:] = 0, 0, 1
     scored = per_document(rows, model, groups)
     floor = float(np.log10(model.tokens + model.words + 1))
     return scored.select(
