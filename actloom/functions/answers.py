@@ -66,22 +66,31 @@ def strict_json(text: Column) -> Column:
     return F.when(keyed.isNotNull(), F.try_variant_get(listed, "$[0]", "variant"))
 
 
-def unwrap(v: Column, depth: int = 3) -> Column:
-    """Follow ``annotation`` and ``result`` wrappers; NULL unless an object."""
-    if depth == 0:
-        return F.when(is_object(v), v)
+def unwrap(v: Column, text: Column | None = None) -> Column:
+    """Follow ``annotation`` and ``result`` wrappers to the innermost one; NULL unless an object.
 
-    def step(x: Column) -> Column:
+    Every layer is one ``result`` key, so a text holds at most as many layers as that word; ``text`` is the
+    JSON text of ``v`` (made from it where not given).
+    """
+
+    def inner(x: Column) -> Column:
+        """The next layer, or x itself where there is none."""
         annotation, result = _at(x, "$.annotation"), _at(x, "$.result")
         head = _at(result, "$[0]")
         return (
-            F.when(is_object(x) & is_object(annotation), annotation)
-            .when(is_object(x) & is_array(result) & is_object(head), unwrap(head, depth - 1))
-            .when(is_object(x) & is_object(result), unwrap(result, depth - 1))
-            .when(is_object(x), x)
+            F.when(is_object(x) & is_object(annotation), x)
+            .when(is_object(x) & is_array(result) & is_object(head), head)
+            .when(is_object(x) & is_object(result), result)
+            .otherwise(x)
         )
 
-    return let(v, step)
+    raw = F.coalesce(F.to_json(v) if text is None else text, F.lit(""))
+    layers = F.regexp_count(raw, F.lit('"result"'))
+    last = F.when(layers == 0, v).otherwise(F.aggregate(F.sequence(F.lit(1), layers), v, lambda x, _: inner(x)))
+    return let(
+        last,
+        lambda x: F.when(is_object(x) & is_object(_at(x, "$.annotation")), _at(x, "$.annotation")).when(is_object(x), x),
+    )
 
 
 def members(json: Column) -> Column:

@@ -35,7 +35,7 @@ def contacts(col: Column) -> Column:
         col,
         lambda t: F.contains(t, F.lit("://"))
         | F.contains(t, F.lit("@"))
-        | F.regexp_like(t, F.lit(r"(?iu)www\.|тел|факс|e-?mail|почта|(?:\+7|8)[\p{Z}\s(]{0,9}\d{3}")),
+        | F.regexp_like(t, F.lit(r"(?iu)www\.|тел|факс|e-?mail|почта|(?:\+7|8)[\p{Z}\s(]*\d{3}")),
         lambda t: T.subs(t, RU.CONTACT_PATTERNS),
     )
 

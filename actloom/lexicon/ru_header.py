@@ -8,13 +8,6 @@ from __future__ import annotations
 from actloom.functions.text import spaced
 from actloom.lexicon.ru_acts import CASE_NUMBER_SHORT
 
-# ---- fixed values: context limits ------------------------------------------
-
-HISTORY_LIMIT = 12_000
-PARTY_LIMIT = 6_000
-REASONING_LIMIT = 9_000
-DISPUTE_LIMIT = 1_800
-
 # ---- fixed values: requisites ----------------------------------------------
 
 _WORD_DATE = r"(\d{1,2}\s+[а-яА-ЯёЁ]+\s+\d{4}\s+года)"

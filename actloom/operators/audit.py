@@ -105,7 +105,8 @@ def judged(features: DataFrame) -> DataFrame:
 # ----------------------------------------------------------- reading of answers
 
 def read_answers(responses: DataFrame) -> DataFrame:
-    """Adds ``answer`` (unwrapped object as JSON text) and ``parse_error``."""
+    """Adds ``answer`` (unwrapped object as JSON text) and ``parse_error``; of repeated keys the last counts."""
+    responses.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     text = F.col("answer_text")
     ready = ~F.coalesce(F.col("skipped"), F.lit(False)) & F.col("error").isNull()
     parsed = stage(

@@ -231,10 +231,10 @@ def dispute_context(
     party: Column,
     reasoning: Column,
     *,
-    limit: int = H.DISPUTE_LIMIT,
+    limit: int | None = None,
     compat_party_cut: bool = False,
 ) -> Column:
-    """Best candidate by source priority, cleaned and cut at a word.
+    """Best candidate by source priority, cleaned; with ``limit`` cut at a word.
 
     ``compat_party_cut=True`` leaves the party text uncut before the search.
     """
@@ -245,7 +245,7 @@ def dispute_context(
     def first_allowed(candidates: Column) -> Column:
         return F.get(F.filter(candidates, lambda c: ~is_forbidden(c)), F.lit(0))
 
-    head = F.left(T.header_text(reasoning), F.lit(H.REASONING_LIMIT))
+    head = T.header_text(reasoning)
     selected = F.coalesce(
         first_allowed(header_candidates(header)),
         first_allowed(text_candidates(history)),
@@ -253,7 +253,9 @@ def dispute_context(
         first_allowed(text_candidates(head)),
         T.first_hit(T.header_text(F.concat_ws(" ", header, history)), H.LAWSUIT, 1, "isu"),
     )
-    return let(clean_dispute(selected), lambda t: F.nullif(T.word_cut(t, limit), F.lit("")))
+    return let(
+        clean_dispute(selected), lambda t: F.nullif(t if limit is None else T.word_cut(t, limit), F.lit(""))
+    )
 
 
 # ----------------------------------------------------------------- documents
@@ -273,16 +275,13 @@ def quarantine(docs: DataFrame) -> DataFrame:
 
 
 def case_header(docs: DataFrame) -> DataFrame:
-    """One row of requisites per document with a header zone; map-only."""
+    """One row of requisites per document with a header zone, from whole zones; map-only."""
     parts = stage(
         docs.filter(has_header(docs)).select("doc_id", "zones"),
         **{
-            name: F.left(T.header_text(zone_text(F.col("zones"), kind)), F.lit(limit))
-            for kind, name, limit in (
-                ("header", "h", 2**31 - 1),
-                ("procedural_history", "ph", H.HISTORY_LIMIT),
-                ("party_position", "pp", H.PARTY_LIMIT),
-                ("court_reasoning", "cr", H.REASONING_LIMIT),
+            name: T.header_text(zone_text(F.col("zones"), kind))
+            for kind, name in (
+                ("header", "h"), ("procedural_history", "ph"), ("party_position", "pp"), ("court_reasoning", "cr"),
             )
         },
     )

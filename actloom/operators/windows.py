@@ -263,7 +263,7 @@ def window_stats(windows: DataFrame) -> DataFrame:
 
 def first_windows(windows: DataFrame, limit: int = 120) -> DataFrame:
     """The first windows in document order (a top-k report)."""
-    return windows.orderBy("doc_id", "window_id").limit(limit)
+    return windows.orderBy("doc_id", F.regexp_extract("window_id", r"(\d+)$", 1).try_cast("bigint"), "window_id").limit(limit)
 
 
 def sanitizer_report(docs: DataFrame) -> DataFrame:

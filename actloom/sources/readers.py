@@ -118,7 +118,7 @@ def read_search_profiles(spark: SparkSession, path: str, base: DataFrame | None
         F.coalesce("e.value.cards", none).alias("cards"),
         F.coalesce("e.value.zones", F.array(F.lit("court_reasoning"))).alias("zones"),
         F.coalesce("e.value.keywords", none).alias("keywords"),
-        F.coalesce("e.value.max_windows", F.lit(2)).alias("max_windows"),
+        F.col("e.value.max_windows").alias("max_windows"),
     )
     if base is None:
         return own

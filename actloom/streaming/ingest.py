@@ -11,11 +11,13 @@ from actloom.plans.analyze import annotation_stage
 from actloom.sources.writers import write_table
 
 
-def page_stream(spark: SparkSession, landing: str, fmt: str = "parquet", files_per_trigger: int = 1000) -> DataFrame:
-    """Stream of page files; all pages of a document must land in one batch."""
-    return (
-        spark.readStream.schema(S.PAGES).format(fmt).option("maxFilesPerTrigger", files_per_trigger).load(landing)
-    )
+def page_stream(spark: SparkSession, landing: str, fmt: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
+    """Stream of page files; a batch takes all files that are there. A limit of files per trigger may cut a
+    document in two, so it is for landing folders with whole documents in each file only."""
+    reader = spark.readStream.schema(S.PAGES).format(fmt)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.load(landing)
 
 
 def write_requests(target: str) -> Callable[[DataFrame, int], None]:

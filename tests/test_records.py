@@ -114,4 +114,62 @@ def test_audit_statuses(spark):
 def test_budget(spark):
     cases = [([9000, 100], [False, True]), ([5000, 4000, 3000], [False, True, False]), ([], [])]
     df = spark.createDataFrame([(c[0],) for c in cases], "s array<int>")
-    assert [list(r.b) for r in df.select(RE.spend_budget(F.col("s")).alias("b")).collect()] == [c[1] for c in cases]
+    assert [list(r.b) for r in df.select(RE.spend_budget(F.col("s"), 8_000).alias("b")).collect()] == [c[1] for c in cases]
+
+
+def test_nothing_is_cut_without_a_limit(spark):
+    """Texts beyond every former limit stay whole; with a limit, what is left out is named."""
+    from actloom.functions import answers as A
+    from actloom.functions import cleaning as C
+
+    df = spark.createDataFrame([([9_000, 9_000, 1],)], "s array<int>")
+    assert df.select(RE.spend_budget(F.col("s")).alias("b")).first().b == [False] * 3
+    fragment = "struct<source:string,text:string,matched_keyword:string,search_stage:string>"
+    context = f"struct<path:string,reason:string,source_audit_block:string,fragments:array<{fragment}>,context_chars:int,skipped:boolean>"
+    many = [(f"claim.f{i}", "r", "b", [("s", "x" * 3_000, "k", "g")], 3_000, False) for i in range(12)]
+    routed = RE.route_contexts(spark.createDataFrame([("d", many)], f"doc_id string, contexts array<{context}>"))
+    assert routed.select(F.size("contexts").alias("n"), "left_out").first() == (12, [])
+    few = RE.route_contexts(spark.createDataFrame([("d", many)], f"doc_id string, contexts array<{context}>"), 5).first()
+    assert len(few.contexts) == 5 and few.left_out == [f"claim.f{i}" for i in range(5, 12)]
+    headers = spark.createDataFrame([], "doc_id string, case_number string, act_date string, court_name string, judges array<string>, debtor_name string, dispute_context string")
+    entities = spark.createDataFrame([], "doc_id string, name string, roles array<string>, first_seen int")
+    whole = RE.refinement_requests(routed, headers, entities).first()
+    assert whole.input_text_length > 36_000 and len(whole.target_paths) == 12 and whole.left_out == []
+    cut = RE.refinement_requests(routed, headers, entities, max_chars=9_000).first()
+    assert cut.input_text_length <= 9_000 and list(cut.target_paths) + list(cut.left_out) == [f"claim.f{i}" for i in range(12)]
+
+    deep = '{"claim":{"a":1}}'
+    for _ in range(9):
+        deep = '{"result":[' + deep + "]}"
+    got = spark.createDataFrame([(deep,), ('{"annotation":{"b":2}}',), ("[1]",)], "t string").select(
+        F.to_json(A.unwrap(F.try_parse_json("t"))).alias("u")
+    ).collect()
+    assert [r.u for r in got] == ['{"claim":{"a":1}}', '{"b":2}', None]
+    phone = spark.createDataFrame([("тут 8            (912) 123-45-67 конец",)], "t string").select(C.contacts(F.col("t")).alias("t")).first().t
+    assert "912" not in phone
+
+
+def test_window_order_beyond_five_digits(spark):
+    from actloom.operators import requests as RQ
+    from actloom.operators import windows as W
+
+    windows = spark.range(99_998, 100_003).select(
+        F.lit("d").alias("doc_id"), F.format_string("w%05d", "id").alias("window_id"),
+        *[F.lit("z").alias(c) for c in ("zone_id", "zone_type", "text")], *[F.lit(1).alias(c) for c in ("page_start", "page_end")],
+        *[F.array(F.lit("x")).alias(c) for c in ("sentence_ids", "date_sentence_ids", "dates")],
+    )
+    headers = spark.createDataFrame([], "doc_id string, case_number string, act_date string, court_name string, judges array<string>, debtor_name string, dispute_context string")
+    got = RQ.annotation_requests(windows, headers).select("annotation_seq").collect()
+    assert sorted(r.annotation_seq for r in got) == list(range(99_998, 100_003))
+    assert [r.window_id for r in W.first_windows(windows, 3).collect()] == ["w99998", "w99999", "w100000"]
+
+
+def test_repeated_keys_keep_the_last_value(spark):
+    from actloom.operators import audit as AU
+
+    rows = spark.createDataFrame(
+        [("d", 1, "x", '{"claim":{"a":{"value":"1"},"a":{"value":"2"}}}', None, False)],
+        "doc_id string, extractor_seq bigint, extractor string, answer_text string, error string, skipped boolean",
+    )
+    got = AU.read_answers(rows).first()
+    assert got.parse_error is None and '"2"' in got.answer
