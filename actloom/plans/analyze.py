@@ -20,6 +20,7 @@ from actloom.operators import requests as RQ
 from actloom.operators import segment as SE
 from actloom.operators import tagging as TA
 from actloom.operators import windows as WI
+from actloom.session import cut_lineage
 
 
 def segmented(pages: DataFrame) -> DataFrame:
@@ -51,7 +52,8 @@ class Stage1:
 
 
 def annotation_stage(pages: DataFrame, question: str = "") -> Stage1:
-    docs = segmented(pages)
+    """Windows, headers, requests and quarantine; segmentation runs once, into a stage table."""
+    docs = cut_lineage(segmented(pages), "acts")
     ready = accepted_documents(docs)
     headers = HE.case_header(ready)
     requests = RQ.annotation_requests(WI.window_rows(ready, "clean_windows"), headers, question)
@@ -67,9 +69,10 @@ class Stage2:
 
 
 def card_stage(headers: DataFrame, annotations: DataFrame) -> Stage2:
-    parsed = CA.parse_annotations(annotations)
-    entities = CA.merge_roles(CA.entity_rows(parsed))
-    merged = CA.merge_cards(CA.card_fragments(parsed))
+    """Entities, merged cards, extraction requests and statistics; replies are parsed and merged once."""
+    parsed = cut_lineage(CA.parse_annotations(annotations), "replies")
+    entities = cut_lineage(CA.merge_roles(CA.entity_rows(parsed)), "entities")
+    merged = cut_lineage(CA.merge_cards(CA.card_fragments(parsed)), "cards")
     return Stage2(
         entities, merged, RQ.extraction_requests(headers, entities, merged),
         CA.merge_stats(parsed, entities, merged),

@@ -16,6 +16,7 @@ from actloom.operators import tagging as TA
 from actloom.operators import windows as WI
 from actloom.plans import corpus as CO
 from actloom.plans.analyze import segmented
+from actloom.session import cut_lineage
 
 _MONTHS = "['января','февраля','марта','апреля','мая','июня','июля','августа','сентября','октября','ноября','декабря']"
 
@@ -232,7 +233,7 @@ def act_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def act_annotation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _windows(spark, sf_dir)
+    docs = cut_lineage(_windows(spark, sf_dir), "acts")
     out = RQ.annotation_requests(WI.window_rows(docs), HE.case_header(docs), "Что решил суд?")
     return out.select("doc_id", "window_id", F.col("annotation_seq").cast("bigint").alias("annotation_seq"), "input_text")
 

@@ -18,6 +18,7 @@ from actloom.operators import scan as SC
 from actloom.plans import corpus as CO
 from actloom.plans.analyze import segmented
 from actloom.plans.corpus import table
+from actloom.session import cut_lineage
 
 # ------------------------------------------------------------------- events
 
@@ -252,7 +253,7 @@ def refinement_outcomes(spark, sf_dir):
 
 
 def _refill(spark, sf_dir):
-    docs = segmented(CO.act_pages(spark, sf_dir))
+    docs = cut_lineage(segmented(CO.act_pages(spark, sf_dir)), "acts")
     merged = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("doc_id"), F.lit("claimAndDealCard").alias("card"), F.array(F.lit("s00009")).alias("source_sentence_ids")
     )
@@ -505,6 +506,15 @@ FROM issues WHERE severity = 'critical' GROUP BY 1, 2""",
 WITH {_FEATURES}{_PER_DOC}
 SELECT doc_id, overall_status, field_conflicts_count, rejected_fields_count, critical_logic_count,
   missing_key_fields_count::BIGINT AS missing_key_fields_count, soft_missing_fields_count, extractor_errors_count, accepted_fields_count FROM stat""",
+    "quality_summary": f"""
+WITH {_FEATURES}{_PER_DOC}
+SELECT CASE WHEN accepted_fields_count >= 0.9 * {len(LA.ABSOLUTE_KEYS) + len(LA.SOFT_KEYS)} THEN 'complete'
+    WHEN accepted_fields_count >= 0.6 * {len(LA.ABSOLUTE_KEYS) + len(LA.SOFT_KEYS)} THEN 'partial' ELSE 'insufficient' END AS schema_completeness,
+  CASE WHEN critical_logic_count + field_conflicts_count > 0 THEN 'major_conflicts' WHEN logic_count > 0 THEN 'minor_conflicts'
+    ELSE 'consistent' END AS consistency_status,
+  CASE overall_status WHEN 'needs_manual_review' THEN 'manual_review_required' ELSE 'needs_reextraction' END AS audit_result,
+  count(*) AS n
+FROM stat GROUP BY 1, 2, 3""",
     "similarity_view": f"WITH {_FEATURES} SELECT basket AS economic_dispute_basket, ct AS claim_type, cs AS creditor_status, count(*) AS n FROM bask GROUP BY 1, 2, 3",
     "evidence_warnings": f"""
 WITH {_FEATURES}
