@@ -29,8 +29,8 @@ from actloom.llm.common import documents, map_rows, narrow
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Distinct words that a worker keeps (about 250 bytes each).
-REMEMBER = 600_000
+#: Distinct words that a worker keeps (about 350 bytes each).
+REMEMBER = 300_000
 
 #: The split pattern spelt out for texts of ASCII and Latin letters, which the standard library matches faster.
 LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"

@@ -41,7 +41,7 @@ GUARANTEED = CHUNKS * (ERRORS + 1) - 1
 #: Members of a bucket that one task compares with as many others.
 TILE = 256
 #: Distinct words that a worker keeps the hash of.
-REMEMBER = 500_000
+REMEMBER = 250_000
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _FACTORS = _RANDOM.integers(1, 2**63, COMPONENTS, np.uint64) | np.uint64(1)
 _FLIPS = _RANDOM.integers(0, 2**63, COMPONENTS, np.uint64)

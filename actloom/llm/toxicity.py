@@ -34,7 +34,7 @@ PRIOR, DEVIATIONS, DRIFT, LEVEL = 20.0, 2.5, 0.15, 0.05
 #: A token must be at least twice as frequent in toxic documents to score.
 MARGIN = float(np.log(2))
 #: Distinct words that a worker keeps the gain of.
-REMEMBER = 500_000
+REMEMBER = 250_000
 #: Lower-cases ASCII and makes its other characters but letters, digits and apostrophes blanks.
 TOKENS = bytes(
     b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 or b == 39 else 32 for b in range(256)
