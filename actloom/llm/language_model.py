@@ -32,8 +32,8 @@ from actloom.llm.common import LOWER, blocks, documents, id_remainder, narrow, s
 CONTEXTS = 60_000
 START, END, OTHER = 0, 1, 65_535
 #: Tokens of a group of hashes, and tokens and documents of a chunk; the documents need 15 bits.
-GROUP_TOKENS, CHUNK_TOKENS, CHUNK_DOCS = 3_000_000, 2_000_000, 30_000
-REMEMBER = 500_000
+GROUP_TOKENS, CHUNK_TOKENS, CHUNK_DOCS = 1_500_000, 1_000_000, 30_000
+REMEMBER = 300_000
 RARE = np.uint64(1 << 63)
 BUCKETS = 24
 #: Steps of ln(P / uniform) in the histogram that EM runs on.
@@ -160,14 +160,22 @@ def count_words(rows: DataFrame) -> DataFrame:
 
 
 def count_contexts(rows: DataFrame, at_most: int) -> Model:
-    words = count_words(rows)
+    words = counted = count_words(rows)
     total = words.agg(F.sum("kept"), F.sum("deleted"), F.count(F.lit(1))).first()
     model = Model(tokens=(total[0] or 0) + (total[1] or 0), tokens_kept=total[0] or 0, words=total[2])
     n = F.col("kept") + F.col("deleted")
-    for code, r in enumerate(words.filter(F.col("word") != END).orderBy(n.desc(), "word").limit(at_most).collect(), 2):
+    words = words.filter(F.col("word") != END)
+    # Only words of the frequencies that at_most reaches are sorted, so tasks send few rows to the driver.
+    level = F.floor(8 * F.log2(n)).cast("int")
+    least, above = 0, 0
+    for r in words.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        least, above = r.level, above + r["count"]
+        if above >= at_most:
+            break
+    for code, r in enumerate(words.filter(level >= least).orderBy(n.desc(), "word").limit(at_most).collect(), 2):
         model.codes[r.word & (2**64 - 1)] = code
         model.counts[code], model.kept[code] = r.kept + r.deleted, r.kept
-    end = words.filter(F.col("word") == END).first()
+    end = counted.filter(F.col("word") == END).first()
     if end:  # as many ends as starts
         model.counts[[START, END]], model.kept[[START, END]] = end.kept + end.deleted, end.kept
     return model
