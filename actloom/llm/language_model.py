@@ -3,8 +3,9 @@
 P(w | v) = l2 c(v, w) / c(v) + l1 c(w) / N + l0 / (V + 1), where the weights depend on how often the context v was
 seen (buckets of doubling frequency). A part of the training documents is deleted from the counts, and expectation
 maximisation finds the weights under which the remaining counts predict it best; then all training counts are
-used. The CONTEXTS most frequent words serve as contexts; after any other word the unigram is interpolated
-with the uniform share only.
+used. Every word serves as a context. The CODED most frequent words have short codes and known counts in every
+task; pairs after other words go another way (rare_contexts), with counts found by shuffles on the word. Only with
+a number of contexts given, after any other word the unigram is interpolated with the uniform share only.
 
 Work is spread by the hash of what is counted. A map task codes its documents in chunks and packs, per group of
 hashes, the pairs and the places where they occur; one group sees every occurrence of its pairs and words, so it
@@ -24,12 +25,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from actloom.llm.common import LOWER, blocks, documents, id_remainder, narrow, stage_table
 
-CONTEXTS = 60_000
+#: Words with a code; their number bounds memory, not the contexts.
+CODED = 60_000
 START, END, OTHER = 0, 1, 65_535
 #: Tokens of a group of hashes, and tokens and documents of a chunk; the documents need 15 bits.
 GROUP_TOKENS, CHUNK_TOKENS, CHUNK_DOCS = 1_500_000, 1_000_000, 30_000
@@ -54,18 +56,24 @@ class Model:
     tokens_kept: int = 0
     words: int = 0  # V
     weights: np.ndarray = field(default_factory=lambda: np.full((BUCKETS, 3), 1 / 3))  # l2, l1, l0 by bucket
+    table: DataFrame | None = None  # counts of all words; stays on the driver
 
-    def bucket(self, context: np.ndarray) -> np.ndarray:
-        c = self.counts[context]
-        out = np.minimum(np.log2(c + 1).astype(np.int64) + 1, BUCKETS - 1)
-        return np.where(context == OTHER, 0, out)
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}
 
     def log10(self, context: np.ndarray, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
         """log10 P(w | v) from the context codes, c(v, w) and c(w)."""
-        c = np.maximum(self.counts[context], 1)
-        l2, l1, l0 = self.weights[self.bucket(context)].T
-        pair = np.where(context == OTHER, 0, pair)
-        return np.log10(l2 * pair / c + l1 * word / max(self.tokens, 1) + l0 / (self.words + 1))
+        return self.log10_of(self.counts[context], np.where(context == OTHER, 0, pair), word)
+
+    def log10_of(self, context: np.ndarray, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """log10 P(w | v) from c(v), c(v, w) and c(w)."""
+        l2, l1, l0 = self.weights[bucket(context)].T
+        return np.log10(l2 * pair / np.maximum(context, 1) + l1 * word / max(self.tokens, 1) + l0 / (self.words + 1))
+
+
+def bucket(count: np.ndarray) -> np.ndarray:
+    """The bucket of a context's count; 0 has the contexts that were not seen."""
+    return np.where(count > 0, np.minimum(np.log2(count + 1).astype(np.int64) + 1, BUCKETS - 1), 0)
 
 
 class Coder:
@@ -162,7 +170,7 @@ def count_words(rows: DataFrame) -> DataFrame:
 def count_contexts(rows: DataFrame, at_most: int) -> Model:
     words = counted = count_words(rows)
     total = words.agg(F.sum("kept"), F.sum("deleted"), F.count(F.lit(1))).first()
-    model = Model(tokens=(total[0] or 0) + (total[1] or 0), tokens_kept=total[0] or 0, words=total[2])
+    model = Model(tokens=(total[0] or 0) + (total[1] or 0), tokens_kept=total[0] or 0, words=total[2], table=counted)
     n = F.col("kept") + F.col("deleted")
     words = words.filter(F.col("word") != END)
     # Only words of the frequencies that at_most reaches are sorted, so tasks send few rows to the driver.
@@ -181,9 +189,92 @@ def count_contexts(rows: DataFrame, at_most: int) -> Model:
     return model
 
 
-def learn_weights(rows: DataFrame, model: Model, groups: int) -> None:
-    """Counts pairs with and without the deleted part, and runs EM on what the deleted part holds."""
+def keyed(rows: DataFrame) -> DataFrame:
+    """Rows with a key; rows of one key have one text."""
+    return rows.select("*", F.xxhash64("doc_id", "text", "part").alias("key"))
+
+
+def rare_contexts(rows: DataFrame, model: Model) -> DataFrame:
+    """The tokens after words without a code, of all rows: key, part, n, code of the token (-1: none), and the counts
+    c of all training and k of kept rows: of the context (cv, kv), the pair (cp, kp) and a token without code (cw, kw).
+
+    A word is as often a context as a token, so the shuffle on v that counts pairs knows c(v) too.
+    """
     codes = model.codes
+
+    def emit(batches):
+        coder = Coder(codes)
+        for cols, flat, sizes in chunks(batches, coder):
+            before = np.zeros_like(flat)
+            before[1:] = flat[:-1]
+            before[np.cumsum(sizes) - sizes] = START
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            at = before >= 65_536
+            v, w, doc = before[at], flat[at], doc[at]
+            order = np.lexsort((doc, w, v))
+            v, w, doc = v[order], w[order], doc[order]
+            if not len(v):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (doc[1:] != doc[:-1])]))
+            n = np.diff(np.append(first, len(v)))
+            v, w, doc = v[first], w[first], doc[first]
+            key, part = np.array(cols["key"], np.int64)[doc], np.array(cols["part"], np.int32)[doc]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key), pa.array(part), pa.array(v.view(np.int64)), pa.array(w.view(np.int64)), pa.array(n.astype(np.int32))],
+                names=["key", "part", "v", "w", "n"],
+            )
+
+    n = F.col("n")
+    found = keyed(rows).mapInArrow(emit, "key long, part int, v long, w long, n int")
+    for names, by in ((("cv", "kv"), ("v",)), (("cp", "kp"), ("v", "w"))):
+        over = Window.partitionBy(*by)
+        for name, below in zip(names, (2, 1)):
+            found = found.withColumn(name, F.sum(F.when(F.col("part") < below, n).otherwise(0)).over(over))
+    own = ["key", "part", "n", "cv", "kv", "cp", "kp"]
+    zero = F.lit(0).cast("long")
+    coded = found.filter("w >= 0").select(*own, F.col("w").cast("int").alias("code"), zero.alias("cw"), zero.alias("kw"))
+    words = model.table.filter("word < 0").select(F.col("word").alias("w"), (F.col("kept") + F.col("deleted")).alias("cw"), F.col("kept").alias("kw"))
+    rest = found.filter("w < 0").join(words, "w", "left").select(
+        *own, F.lit(-1).alias("code"), F.coalesce("cw", zero).alias("cw"), F.coalesce("kw", zero).alias("kw")
+    )
+    return stage_table(coded.unionByName(rest), "rare")
+
+
+def rare_columns(batch: pa.RecordBatch, counts: np.ndarray, names: str) -> list[np.ndarray]:
+    """The named columns of rare_contexts; the last one, a token's count, is completed from the counts by code."""
+    *out, word = (np.asarray(batch.column(batch.schema.get_field_index(x))) for x in names.split(" "))
+    code = np.asarray(batch.column(batch.schema.get_field_index("code")))
+    return [*out, np.where(code >= 0, counts[np.maximum(code, 0)], word)]
+
+
+def rare_scores(rare: DataFrame, model: Model) -> DataFrame:
+    """key, rare: the mean log-probability of a key's tokens after words without a code."""
+    light = Model(counts=model.counts, tokens=model.tokens, words=model.words, weights=model.weights)
+
+    def run(batches):
+        for batch in batches:
+            key, n, cv, cp, cw = rare_columns(batch, light.counts, "key n cv cp cw")
+            key, score, n = summed(key, n * light.log10_of(cv, cp, cw), n)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(score), pa.array(n.astype(np.int64))], names=["key", "score", "n"])
+
+    got = rare.mapInArrow(run, "key long, score double, n long")
+    return got.groupBy("key").agg((F.sum("score") / F.sum("n")).alias("rare"))
+
+
+def binned(context: np.ndarray, pair: np.ndarray, word: np.ndarray, held: np.ndarray, model: Model) -> pa.Table:
+    """Histogram of deleted tokens by the bucket of the kept c(v) and by the sizes of c(v, w) / c(v) and c(w) / N."""
+    uniform, bins = 1 / (model.words + 1), []
+    for p in (pair / np.maximum(context, 1), word / max(model.tokens_kept, 1)):
+        with np.errstate(divide="ignore"):
+            bins.append(np.where(p > 0, np.clip(np.round(GRAIN * np.log(p / uniform)), -199, 199), -200).astype(np.int64))
+    key, n = summed((bucket(context) * 401 + bins[0] + 200) * 401 + bins[1] + 200, held)
+    return pa.table({"key": pa.array(key, pa.int64()), "n": pa.array(n, pa.int64())})
+
+
+def learn_weights(rows: DataFrame, model: Model, groups: int, rare: DataFrame | None = None) -> None:
+    """Counts pairs with and without the deleted part, and runs EM on what the deleted part holds. rare: the tokens
+    after words without a code (rare_contexts); without it nothing is known after them but the word."""
+    codes, alone = model.codes, rare is None
     light = Model(counts=model.counts, kept=model.kept, tokens_kept=model.tokens_kept, words=model.words)
 
     def pack(batches):
@@ -220,16 +311,19 @@ def learn_weights(rows: DataFrame, model: Model, groups: int) -> None:
         c_pair, held = np.concatenate([pin, rin]).astype(float), np.concatenate([pout, rout])
         c_word = np.concatenate([light.kept[pair & 0xFFFF], in_word[both >> 16]])
         at = held > 0
+        if not alone:
+            at &= v != OTHER
         v, c_pair, c_word, held = v[at], c_pair[at], c_word[at], held[at]
-        uniform = 1 / (light.words + 1)
-        bins = []
-        for p in (np.where(v == OTHER, 0, c_pair / np.maximum(light.kept[v], 1)), c_word / max(light.tokens_kept, 1)):
-            with np.errstate(divide="ignore"):
-                bins.append(np.where(p > 0, np.clip(np.round(GRAIN * np.log(p / uniform)), -199, 199), -200).astype(np.int64))
-        key, n = summed((light.bucket(v) * 401 + bins[0] + 200) * 401 + bins[1] + 200, held)
-        return pa.table({"key": pa.array(key, pa.int64()), "n": pa.array(n, pa.int64())})
+        return binned(light.kept[v], np.where(v == OTHER, 0, c_pair), c_word, held, light)
+
+    def rare_histogram(batches):
+        for batch in batches:
+            n, kv, kp, kw = rare_columns(batch, light.kept, "n kv kp kw")
+            yield from binned(kv, kp, kw, n.astype(np.int64), light).to_batches()
 
     got = rows.filter("part < 2").mapInArrow(pack, PACKED.format(key="r")).groupBy("r").applyInArrow(histogram, "key long, n long")
+    if rare is not None:
+        got = got.unionByName(rare.filter("part = 1").mapInArrow(rare_histogram, "key long, n long"))
     found = got.groupBy("key").agg(F.sum("n").alias("n")).collect()  # at most buckets x bins x bins numbers
     key, n = np.array([r.key for r in found], np.int64), np.array([r.n for r in found], float)
     value = lambda b: np.where(b == 0, 0, np.exp((b - 200) / GRAIN))
@@ -238,6 +332,8 @@ def learn_weights(rows: DataFrame, model: Model, groups: int) -> None:
     for b in range(BUCKETS):
         mine = key // (401 * 401) == b
         model.weights[b] = maximised(p[mine], n[mine]) if n[mine].sum() >= 50 else pooled
+    model.weights[0, 0] = 0  # no pair after a context that was not seen
+    model.weights[0] /= model.weights[0].sum()
 
 
 def maximised(p: np.ndarray, n: np.ndarray, steps: int = 100) -> np.ndarray:
@@ -268,8 +364,9 @@ def joined(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x or b"" for x in table.column(name).to_pylist()), kind)
 
 
-def per_document(rows: DataFrame, model: Model, groups: int) -> DataFrame:
-    """doc_id, part, n_tokens, n_known, base (sum of log10(c + 1)) and score of every row."""
+def per_document(rows: DataFrame, model: Model, groups: int, alone: bool = True) -> DataFrame:
+    """doc_id, part, n_tokens, n_known, base (sum of log10(c + 1)) and score of every row, its key and its number of
+    tokens after words without a code. Not alone: these tokens' scores are added by the caller."""
 
     def pack(batches):
         coder = Coder(model.codes)
@@ -285,7 +382,8 @@ def per_document(rows: DataFrame, model: Model, groups: int) -> DataFrame:
             base = np.bincount(doc, np.where(rare, 0, np.log10(c + 1)), n)
             # After a word that is no context, a context word's probability is known here.
             here = ~rare & (v == OTHER)
-            score = np.bincount(doc[here], model.log10(v[here], np.zeros(here.sum()), c[here]), n)
+            score = np.bincount(doc[here], model.log10(v[here], np.zeros(here.sum()), c[here]) * alone, n)
+            n_rare = np.bincount(doc[v == OTHER], minlength=n)
             part = np.array(cols["part"])
             place = (doc | (part < 2).astype(np.int64)[doc] << 15).astype(np.uint16)
             chunk = xxhash.xxh3_64_intdigest(repr(cols["doc_id"]).encode() + flat.tobytes()) >> 1
@@ -300,7 +398,7 @@ def per_document(rows: DataFrame, model: Model, groups: int) -> DataFrame:
             )
             out = packed([np.arange(groups), np.full(groups, chunk)], columns, ["r", "chunk"])
             own = (*(np.array([x is None for x in cols["doc_id"]], np.uint8), np.array([x or 0 for x in cols["doc_id"]], np.int64)),
-                   part.astype(np.uint8), sizes, known, base, score)
+                   part.astype(np.uint8), sizes, known, base, score, np.array(cols["key"], np.int64), n_rare)
             ids = pa.array([None] * groups, pa.binary())
             yield pa.RecordBatch.from_arrays([*out.columns, ids], names=[*out.schema.names, "own"])
             blank = [pa.array([b""], pa.binary())] * 5
@@ -331,6 +429,8 @@ def per_document(rows: DataFrame, model: Model, groups: int) -> DataFrame:
         both, b = np.unique(w.astype(np.int64) << 16 | before.astype(np.int64), return_inverse=True)
         c_both = np.bincount(b, spot >> 15, len(both)) if len(both) else np.zeros(0)
         rare_gain = light.log10(both & 0xFFFF, c_both, c_word[both >> 16])[b] if len(both) else np.zeros(0)
+        if not alone:
+            rare_gain = np.where(before == OTHER, 0, rare_gain)
         mask = 0x7FFF
         key = np.concatenate([of_pair << 15 | place & mask, of_word << 15 | spot & mask])
         zero = np.zeros(len(pair))
@@ -352,40 +452,46 @@ def per_document(rows: DataFrame, model: Model, groups: int) -> DataFrame:
         copies = max(len(owns), 1)
         outs = []
         for raw in owns:
-            n = len(raw) // (1 + 8 + 1 + 8 * 4)
+            n = len(raw) // (1 + 8 + 1 + 8 * 6)
             at, parts = 0, []
-            for kind in (np.uint8, np.int64, np.uint8, np.int64, float, float, float):
+            for kind in (np.uint8, np.int64, np.uint8, np.int64, float, float, float, np.int64, np.int64):
                 size = n * np.dtype(kind).itemsize
                 parts.append(np.frombuffer(raw[at : at + size], kind))
                 at += size
-            missing, ids, part, tokens, n_known, own_base, own_score = parts
+            missing, ids, part, tokens, n_known, own_base, own_score, key, n_rare = parts
             total = lambda v: np.bincount(place, v, n) / copies
             outs.append(pa.table({
                 "doc_id": pa.array(ids, pa.int64(), mask=missing.astype(bool)), "part": pa.array(part.astype(np.int32)),
                 "n_tokens": pa.array(tokens), "n_known": pa.array(np.rint(n_known + total(known)).astype(np.int64)),
                 "base": pa.array(own_base + total(base)), "score": pa.array(own_score + total(score)),
+                "key": pa.array(key), "n_rare": pa.array(n_rare),
             }))
-        schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("key", pa.int64()), ("n_rare", pa.int64())])
         return pa.concat_tables(outs) if outs else schema.empty_table()
 
-    chunk_rows = rows.mapInArrow(pack, "r long, chunk long, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary, own binary")
+    chunk_rows = keyed(rows).mapInArrow(pack, "r long, chunk long, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary, own binary")
     sums = chunk_rows.groupBy("r").applyInArrow(partial, "chunk long, c0 binary, c1 binary, c2 binary, c3 binary, own binary")
     return sums.groupBy("chunk").applyInArrow(
-        final, "doc_id long, part int, n_tokens long, n_known long, base double, score double"
+        final, "doc_id long, part int, n_tokens long, n_known long, base double, score double, key long, n_rare long"
     )
 
 
-def score_documents(df: DataFrame, part, contexts: int = CONTEXTS, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+def score_documents(df: DataFrame, part, contexts: int | None = None, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """Scores of every row. part: column that is 0 for training rows whose counts EM keeps, 1 for training rows that EM
-    predicts, 2 for rows that are only scored."""
+    predicts, 2 for rows that are only scored. contexts: as many of the most frequent words are contexts; by default all
+    words are."""
     rows = narrow(df).select("doc_id", "text", part.cast("int").alias("part"))
-    model = count_contexts(rows, contexts)
+    model = count_contexts(rows, CODED if contexts is None else contexts)
     groups = max(1, -(-model.tokens // group_tokens))
+    rare = rare_contexts(rows, model) if contexts is None and model.words > len(model.codes) + 1 else None
     if model.tokens:
-        learn_weights(rows, model, groups)
+        learn_weights(rows, model, groups, rare)
     else:
         model.weights[:] = 0, 0, 1
-    scored = per_document(rows, model, groups)
+    scored = per_document(rows, model, groups, rare is None)
+    if rare is not None:
+        more = F.when(F.col("n_rare") > 0, F.col("n_rare") * F.col("rare")).otherwise(0)
+        scored = scored.join(rare_scores(rare, model), "key", "left").withColumn("score", F.col("score") + more)
     floor = float(np.log10(model.tokens + model.words + 1))
     return scored.select(
         "doc_id", (F.col("part") == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),

@@ -309,3 +309,21 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for r in kept["byte_bpe"]:
         assert r.n_tokens == len(byte_bpe.token_ids(masked[r.doc_id], path))
         assert r.decoded_sha256 == hashlib.sha256(masked[r.doc_id].encode()).hexdigest()
+
+
+def test_language_model_has_every_word_as_context(spark, monkeypatch):
+    """With codes for 5 words only, the scores are those of a model in which all words are contexts."""
+    monkeypatch.setattr(language_model, "CODED", 5)
+    found, learn = [], language_model.learn_weights
+    monkeypatch.setattr(language_model, "learn_weights", lambda rows, model, *more: (learn(rows, model, *more), found.append(model)))
+    data = [(i, prose(i, 60) + (f" only{i} once{i} and unseen words" if i % 3 else "")) for i in range(90)] + [(4, prose(4, 60)), (None, None)]
+    part = [0 if i is None or i % 7 not in (2, 3) else 2 if i % 7 == 2 else 1 for i, _ in data]
+    docs, rest = spark.createDataFrame(data, "doc_id long, text string"), F.col("doc_id") % 7
+    got = language_model.score_documents(docs, F.when(rest == 2, 2).when(rest == 3, 1).otherwise(0), group_tokens=900).collect()
+    weights = found[0].weights
+    assert np.allclose(weights.sum(1), 1) and weights[0, 0] == 0 and weights[1:, 0].max() > 0
+    want = {(i, n): (known, base, s) for (i, _), (n, known, _, base, s) in zip(data, model_by_hand(data, part, 10**6, weights))}
+    assert len(got) == len(data)
+    for r in got:
+        known, base, score = want[r.doc_id, r.n_tokens]
+        assert r.n_known == known and abs(r.base_score - base) < 1e-6 and abs(r.score - score) < 1e-6, r.doc_id
