@@ -10,8 +10,10 @@ a number of contexts given, after any other word the unigram is interpolated wit
 Work is spread by the hash of what is counted. A map task codes its documents in chunks and packs, per group of
 hashes, the pairs and the places where they occur; one group sees every occurrence of its pairs and words, so it
 knows their counts and sums log-probabilities per document of a chunk; these partial sums meet again by chunk.
-Equal pairs are counted before they move. The number of groups follows the number of tokens, so a group's size
-stays the same. Only the contexts' counts and the histogram for EM reach the driver, both of fixed size.
+The number of groups follows the number of tokens. Pairs of coded words that occur HEAVY times or more in training
+are counted before they move, and every task knows their counts, so their places don't move at all and no group
+holds more than HEAVY training places of a pair. A word without a code is at most one token in CODED. The counts of
+coded words, the histogram for EM (both of fixed size) and at most a HEAVYth of the tokens as heavy pairs reach the driver.
 
 Words are known by 63-bit hashes. Defined cases: null and empty texts have the end token alone; repeated rows get
 equal rows; without training rows every probability is uniform; an empty table gives no rows; a null doc_id counts
@@ -35,6 +37,8 @@ CODED = 60_000
 START, END, OTHER = 0, 1, 65_535
 #: Tokens of a group of hashes, and tokens and documents of a chunk; the documents need 15 bits.
 GROUP_TOKENS, CHUNK_TOKENS, CHUNK_DOCS = 1_500_000, 1_000_000, 30_000
+#: Occurrences in training from which on a pair's count is known in every task.
+HEAVY = 100_000
 REMEMBER = 300_000
 RARE = np.uint64(1 << 63)
 BUCKETS = 24
@@ -56,6 +60,8 @@ class Model:
     tokens_kept: int = 0
     words: int = 0  # V
     weights: np.ndarray = field(default_factory=lambda: np.full((BUCKETS, 3), 1 / 3))  # l2, l1, l0 by bucket
+    heavy: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # pairs of codes in order
+    heavy_counts: np.ndarray = field(default_factory=lambda: np.zeros(0))
     table: DataFrame | None = None  # counts of all words; stays on the driver
 
     def __getstate__(self) -> dict:
@@ -274,7 +280,7 @@ def binned(context: np.ndarray, pair: np.ndarray, word: np.ndarray, held: np.nda
 def learn_weights(rows: DataFrame, model: Model, groups: int, rare: DataFrame | None = None) -> None:
     """Counts pairs with and without the deleted part, and runs EM on what the deleted part holds. rare: the tokens
     after words without a code (rare_contexts); without it nothing is known after them but the word."""
-    codes, alone = model.codes, rare is None
+    codes, alone, at_least = model.codes, rare is None, HEAVY
     light = Model(counts=model.counts, kept=model.kept, tokens_kept=model.tokens_kept, words=model.words)
 
     def pack(batches):
@@ -283,7 +289,8 @@ def learn_weights(rows: DataFrame, model: Model, groups: int, rare: DataFrame |
             deleted = np.repeat(np.array(cols["part"]) == 1, sizes).astype(np.int64)
             v = contexts_of(flat, sizes)
             rare = flat >= 65_536
-            pair, pair_out, pair_in = summed((v << 16 | flat.astype(np.int64))[~rare], deleted[~rare], 1 - deleted[~rare])
+            coded = ~rare & (alone | (v != OTHER))
+            pair, pair_out, pair_in = summed((v << 16 | flat.astype(np.int64))[coded], deleted[coded], 1 - deleted[coded])
             # Rare words by hash, then context.
             order = np.lexsort((v[rare], flat[rare]))
             w, u, d = flat[rare][order], v[rare][order], deleted[rare][order]
@@ -304,6 +311,9 @@ def learn_weights(rows: DataFrame, model: Model, groups: int, rare: DataFrame |
         pair, pin, pout = (joined(table, n, t) for n, t in (("c0", np.uint32), ("c1", np.uint32), ("c2", np.uint32)))
         pair, pin, pout = summed(pair.astype(np.int64), pin.astype(np.int64), pout.astype(np.int64))
         w, u, rin, rout = (joined(table, n, t) for n, t in (("c3", np.uint64), ("c4", np.uint16), ("c5", np.uint32), ("c6", np.uint32)))
+        both = pin + pout
+        heavy = (both >= at_least) & (pair >> 16 != OTHER)
+        heavy, heavy_n = -1 - pair[heavy], both[heavy]  # below all keys of the histogram
         _, w = np.unique(w, return_inverse=True)
         in_word = np.bincount(w, rin) if len(w) else np.zeros(0)
         both, rin, rout = summed(w.astype(np.int64) << 16 | u.astype(np.int64), rin.astype(np.int64), rout.astype(np.int64))
@@ -314,7 +324,8 @@ def learn_weights(rows: DataFrame, model: Model, groups: int, rare: DataFrame |
         if not alone:
             at &= v != OTHER
         v, c_pair, c_word, held = v[at], c_pair[at], c_word[at], held[at]
-        return binned(light.kept[v], np.where(v == OTHER, 0, c_pair), c_word, held, light)
+        found = binned(light.kept[v], np.where(v == OTHER, 0, c_pair), c_word, held, light)
+        return pa.concat_tables([found, pa.table({"key": pa.array(heavy, pa.int64()), "n": pa.array(heavy_n, pa.int64())})])
 
     def rare_histogram(batches):
         for batch in batches:
@@ -324,7 +335,10 @@ def learn_weights(rows: DataFrame, model: Model, groups: int, rare: DataFrame |
     got = rows.filter("part < 2").mapInArrow(pack, PACKED.format(key="r")).groupBy("r").applyInArrow(histogram, "key long, n long")
     if rare is not None:
         got = got.unionByName(rare.filter("part = 1").mapInArrow(rare_histogram, "key long, n long"))
-    found = got.groupBy("key").agg(F.sum("n").alias("n")).collect()  # at most buckets x bins x bins numbers
+    found = got.groupBy("key").agg(F.sum("n").alias("n")).collect()  # at most buckets x bins x bins numbers, and the heavy pairs
+    pairs = sorted((-1 - r.key, r.n) for r in found if r.key < 0)
+    model.heavy, model.heavy_counts = np.array([p for p, _ in pairs], np.int64), np.array([c for _, c in pairs], float)
+    found = [r for r in found if r.key >= 0]
     key, n = np.array([r.key for r in found], np.int64), np.array([r.n for r in found], float)
     value = lambda b: np.where(b == 0, 0, np.exp((b - 200) / GRAIN))
     p = np.stack([value(key // 401 % 401), value(key % 401), np.ones(len(key))], 1)
@@ -387,8 +401,14 @@ def per_document(rows: DataFrame, model: Model, groups: int, alone: bool = True)
             part = np.array(cols["part"])
             place = (doc | (part < 2).astype(np.int64)[doc] << 15).astype(np.uint16)
             chunk = xxhash.xxh3_64_intdigest(repr(cols["doc_id"]).encode() + flat.tobytes()) >> 1
-            both = ~rare & ~here
+            both = np.flatnonzero(~rare & ~here)
             pair = v[both] << 16 | code[both]
+            if len(model.heavy):
+                at = np.minimum(np.searchsorted(model.heavy, pair), len(model.heavy) - 1)
+                known_here = model.heavy[at] == pair
+                i, at = both[known_here], at[known_here]
+                score = score + np.bincount(doc[i], model.log10(v[i], model.heavy_counts[at], c[i]), n)
+                both, pair = both[~known_here], pair[~known_here]
             gp, gr = spread(pair, groups), spread(flat[rare], groups)
             op, orr = np.lexsort((pair, gp)), np.lexsort((flat[rare], gr))
             cp, cr = cuts(gp[op], groups), cuts(gr[orr], groups)

@@ -327,3 +327,18 @@ def test_language_model_has_every_word_as_context(spark, monkeypatch):
     for r in got:
         known, base, score = want[r.doc_id, r.n_tokens]
         assert r.n_known == known and abs(r.base_score - base) < 1e-6 and abs(r.score - score) < 1e-6, r.doc_id
+
+
+def test_places_of_heavy_pairs_do_not_move(spark, monkeypatch):
+    """A pair that is a fixed share of all tokens is scored where it is read; the scores stay the same."""
+    docs = spark.createDataFrame([(i, "of the " * 50 + prose(i, 20)) for i in range(70)], "doc_id long, text string")
+    rest = F.col("doc_id") % 7
+    frame = docs.select("doc_id", "text", F.when(rest == 2, 2).when(rest == 3, 1).otherwise(0).alias("part"))
+    model, scores = language_model.count_contexts(frame, 1000), []
+    for heavy in (10**9, 1000):
+        monkeypatch.setattr(language_model, "HEAVY", heavy)
+        language_model.learn_weights(frame, model, 3)
+        got = language_model.per_document(frame, model, 3)
+        scores.append({r.doc_id: r.score for r in got.collect()})
+        assert len(model.heavy) == (0 if heavy > 10**6 else 2)  # of the, the of
+    assert all(abs(scores[0][i] - scores[1][i]) < 1e-6 for i in range(70))
