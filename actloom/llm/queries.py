@@ -28,6 +28,5 @@ QUERIES = {
 ORACLES = {
     "op1_shard_documents": sharding.ORACLE,
     "op6_decontamination": decontamination.ORACLE,
-    "op7_personal_data": personal_data.query,
     "op8_near_duplicates": near_duplicates.ORACLE,
 }

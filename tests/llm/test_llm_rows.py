@@ -320,3 +320,9 @@ def test_personal_data_learns_new_forms(spark):
         assert set(filter(None, want.split(","))) <= set(x.spans.split(","))
     assert personal_data.find(empty(spark), None).count() == 0
     assert personal_data.fit(empty(spark)) is None
+
+
+def test_registered_sql_is_text():
+    from actloom.llm import queries
+
+    assert all(isinstance(sql, str) for sql in queries.ORACLES.values())
