@@ -12,7 +12,8 @@ comments are put around and inside the article, so every kind of frame has label
 
 Defined cases: null and empty html and pages without main blocks give an empty text; unclosed and stray tags are
 tolerated; repeated rows give equal rows; an empty table gives no rows; other columns are ignored; texts are
-never cut.
+never cut. A script, style, textarea or title without an end tag goes on to the end of the page, as in HTML; any
+other silent tag without one ends at the next block tag or with its parent, a head at what can't stand in it.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ from actloom.llm.common import map_rows
 #: Pages that are fitted on, drawn evenly by a hash of the id, and passes over them.
 MAX_TRAIN, PASSES, BUCKETS = 300, 12, 1 << 12
 SILENT = frozenset("script style noscript template head title svg iframe object select textarea".split())
+RAW = frozenset("script style textarea title".split())
+#: What can stand in a head.
+HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure "
@@ -48,6 +52,13 @@ WALLS = frozenset("ul ol dl table div section article aside main nav header foot
 TAG = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[a-z]+")
+#: The next tag that tells whether a silent tag is closed.
+NEXT = {t: re.compile(rf"</{t}\s*>|<{t}(?=[\s/>])" + (r"|<body(?=[\s/>])" if t == "head" else ""), re.I) for t in SILENT}
+CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+SPANS = re.compile(
+    r"<!--.*?(?:-->|$)|<(script|style|textarea|title)(?=[\s/>]).*?(?:</\1\s*>|$)"
+    rf"|<(/?)({'|'.join(sorted(SILENT - RAW))}|body)((?:[\s/](?:[^>\"']|\"[^\"]*\"|'[^']*')*)?)>", re.S | re.I
+)
 BLANKS = re.compile(r"\s+")
 
 
@@ -58,6 +69,22 @@ class Block:
     linked: int  # characters inside links
 
 
+def silent_ends(page: str) -> dict[int, int]:
+    """Ends of the silent elements that are closed, by the ends of their opening tags."""
+    out: dict[int, int] = {}
+    opened: dict[str, list[int]] = {t: [] for t in SILENT - RAW}
+    for m in SPANS.finditer(page):
+        tag = (m[3] or "").lower()
+        if tag == "body":
+            opened["head"].clear()
+        elif tag and m[2]:
+            if opened[tag]:
+                out[opened[tag].pop()] = m.end()
+        elif tag and not (tag == "svg" and m[4].rstrip().endswith("/")):
+            opened[tag].append(m.end())
+    return out
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order."""
     page = page or ""
@@ -66,6 +93,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
     parts: list[str] = []
     linked = [0]
     in_link = 0
+    ends: dict[int, int] | None = None
+    silent, depth_of_silent = "", 0  # an open silent tag that is never closed
 
     def flush():
         if parts:
@@ -81,9 +110,12 @@ def leaf_blocks(page: str | None) -> list[Block]:
         end = m.start() if m else size
         if end > at:
             piece = page[at:end]
-            parts.append(piece)
-            if in_link:
-                linked[0] += len(piece)
+            if silent == "head" and piece.strip():
+                silent = ""
+            if not silent:
+                parts.append(piece)
+                if in_link:
+                    linked[0] += len(piece)
         if not m:
             break
         at = m.end()
@@ -100,12 +132,32 @@ def leaf_blocks(page: str | None) -> list[Block]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             if depth >= 0:
                 del stack[depth:]
+                if depth < depth_of_silent:
+                    silent, depth_of_silent = "", 0
                 in_link = sum(t == "a" for t, _ in stack)
             continue
-        if tag in SILENT:
-            closing = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+        if silent and (tag not in HEAD if silent == "head" else tag in BLOCK and tag != "option"):
+            del stack[depth_of_silent:]
+            in_link = sum(t == "a" for t, _ in stack)
+            silent, depth_of_silent = "", 0
+        if tag in RAW:
+            closing = CLOSE[tag].search(page, at)
             at = closing.end() if closing else size
             continue
+        if tag in SILENT:
+            if tag == "svg" and m[3].rstrip().endswith("/"):
+                continue
+            closing = NEXT[tag].search(page, at)
+            if closing and closing[0].startswith("</"):
+                at = closing.end()
+                continue
+            if ends is None:
+                ends = silent_ends(page)
+            if at in ends:
+                at = ends[at]
+            elif not silent:
+                silent, depth_of_silent = tag, len(stack)
+            continue
         if tag == "br":
             parts.append("\n")
             continue

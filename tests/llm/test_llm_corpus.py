@@ -342,3 +342,13 @@ def test_places_of_heavy_pairs_do_not_move(spark, monkeypatch):
         scores.append({r.doc_id: r.score for r in got.collect()})
         assert len(model.heavy) == (0 if heavy > 10**6 else 2)  # of the, the of
     assert all(abs(scores[0][i] - scores[1][i]) < 1e-6 for i in range(70))
+
+
+@pytest.mark.parametrize("before", [
+    "<head><title>t</title><meta x><body>", "<head><title>t</title>", "<body><svg a='b'/>", "<body><noscript>", "<body><iframe src=x>", "<body><object>",
+    "<body><template>", "<body><select><option>no<option>no", "<body><div><svg><g>no</div>", "<body><noscript>no<p>was open</p><noscript>no</noscript>",
+    "<body><svg><svg>no</svg>no</svg>", "<HEAD><style>p{}</style></HEAD><body><svg/><svg>no</svg>",
+])
+def test_unclosed_silent_tags_do_not_cut_the_page(before):
+    got = [b.text for b in html_text.leaf_blocks(before + "<article><p>one</p>two</article><svg>no</svg>three")]
+    assert got[-3:] == ["one", "two", "three"] and set(got[:-3]) <= {"was open"}
