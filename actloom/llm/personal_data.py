@@ -5,8 +5,9 @@ numpy adds spans in forms that the rules don't know (spelt-out addresses, unusua
 a plus). It is trained on spans that the rules label in at most MAX_TRAIN documents, and on the same spans
 rewritten, with like-looking numbers that are no personal data as counter-examples.
 
-Every personal span holds a digit or an at sign (a constraint on decoding), so windows without one decode to
-nothing and are left out; around all others overlapping windows of WINDOW characters are decoded, each
+Every personal span holds a site: a digit, an at sign or a spelt at between a name and a host (a constraint on
+decoding), so windows without one decode to nothing and are left out. A stretch reaches from its sites to the ends
+of the names and hosts beside them and MARGIN further; overlapping windows of WINDOW characters of it are decoded, each
 character takes its tag from the window in which it lies furthest from an edge, and the tags of the whole text
 are read once. An added span must pass its kind's check (digits, Luhn, parts) and must not touch a base span.
 
@@ -35,7 +36,10 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
-SITES = re.compile(r"[0-9@＠]+|[\[(]at[\])]", re.I)
+DOT = r"(?:\.|[\[(]\s?dot\s?[\])]|(?<=\s)dot(?=\s))"
+#: What every span holds; a bare at counts where a name stands before it and a host with a dot after it.
+SITES = re.compile(rf"[0-9@＠]+|[\[(]\s?at\s?[\])]|(?<=[\w.%+-]\s)at(?=\s[\w-]+\s?{DOT}\s?[\w-])", re.I)
+HOST = re.compile(rf"\s?[\w-]+(?:\s?{DOT}\s?[\w-]+)*", re.I)
 
 #: Documents that are fitted on, drawn evenly by a hash of the id.
 MAX_TRAIN = 600
@@ -257,8 +261,8 @@ def train(samples: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS, seed
 def rewritten(kind: int, text: str, rng: random.Random) -> str:
     """The same personal data in a form that the base rules don't know."""
     if kind == 0:
-        at = rng.choice([" [at] ", "[at]", " (at) ", "(at)", " at ", "＠", " @ "])
-        dot = rng.choice([" [dot] ", " (dot) ", " dot ", ".", "."])
+        at = rng.choice([" [at] ", "[at]", " (at) ", "(at)", " at ", "＠", " @ ", " [ at ] "])
+        dot = rng.choice([" [dot] ", " (dot) ", " dot ", ".", ".", " [ dot ] "])
         name, _, host = text.partition("@")
         return name + at + host.replace(".", dot)
     if kind == 1:
@@ -331,17 +335,34 @@ def training_windows(texts: list[str], seed: int = 17, each: int = 6) -> list[tu
 # Decoding whole texts ------------------------------------------------------------------------------------
 
 
+def reach(text: str, site: re.Match) -> tuple[int, int]:
+    """The site, and where it is an at the name before and the host after it."""
+    a, b = site.span()
+    if not any(c in "@＠tT" for c in site[0]):
+        return a, b
+    if site[0][0] in "@＠0123456789":  # a run of digits and at signs
+        signs = [i for i, c in enumerate(site[0]) if c in "@＠"]
+        a, b = a + signs[0], a + signs[-1] + 1
+    if a and text[a - 1].isspace():
+        a -= 1
+    while a and (text[a - 1].isalnum() or text[a - 1] in "_.%+-"):
+        a -= 1
+    host = HOST.match(text, b)
+    return min(a, site.start()), max(host.end() if host else b, site.end())
+
+
 def windows_of(text: str) -> list[tuple[int, int]]:
     """Overlapping windows around every site; a stretch of sites longer than a window gets several."""
     out, start, end = [], None, 0
     stretches = []
     for m in SITES.finditer(text):
-        if start is not None and m.start() - end <= MARGIN:
-            end = m.end()
+        a, b = reach(text, m)
+        if start is not None and a - end <= MARGIN:
+            start, end = min(start, a), max(end, b)
         else:
             if start is not None:
                 stretches.append((start, end))
-            start, end = m.start(), m.end()
+            start, end = a, b
     if start is not None:
         stretches.append((start, end))
     for a, b in stretches:
@@ -381,7 +402,7 @@ def form(kind: int, text: str) -> bool:
     if not SITES.search(text) or text != text.strip() or "\n" in text:
         return False
     if kind == 0:
-        return bool(re.fullmatch(r"[\w.%+-]+\s?(?:@|＠|[\[(]at[\])]|(?<=\s)at(?=\s))\s?[\w-]+(?:\s?(?:\.|[\[(]dot[\])]|(?<=\s)dot(?=\s))\s?[\w-]+)+", text, re.I))
+        return bool(re.fullmatch(rf"[\w.%+-]+\s?(?:@|＠|[\[(]\s?at\s?[\])]|(?<=\s)at(?=\s))\s?[\w-]+(?:\s?{DOT}\s?[\w-]+)+", text, re.I))
     parts = re.findall("[0-9]+", text)
     if kind == 1:
         return len(parts) == 4

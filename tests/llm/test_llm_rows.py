@@ -326,3 +326,25 @@ def test_registered_sql_is_text():
     from actloom.llm import queries
 
     assert all(isinstance(sql, str) for sql in queries.ORACLES.values())
+
+
+@pytest.mark.parametrize("address", [
+    "name at host dot com", "name [ at ] host.com", "name ( AT ) host [ dot ] com", "name [at] host dot com", "name@host.com",
+    "a.very.long.local.part.of.more.than.thirty at one.very.long.host.name.of.more.than.thirty dot example dot com",
+    "x" * 300 + " [at] " + "y" * 300 + ".com", "1a@b" + ".c" * 60, "name at h dot com dot",
+])
+def test_windows_hold_every_form_of_an_address(address):
+    """Whatever may be a span lies whole in the stretch that is decoded, with a margin to both sides."""
+    text = "look " * 30 + address + " and then" * 30
+    windows = personal_data.windows_of(text)
+    seen = {i for a, b in windows for i in range(a, b)}
+    start = text.index(address)
+    spans = [address] if personal_data.form(0, address) else [address.rsplit(" ", 1)[0]]
+    assert personal_data.form(0, spans[0])
+    assert set(range(start - 20, start + len(spans[0]) + 10)) <= seen
+    assert not personal_data.windows_of("we met at home and left at noon, " * 9)
+
+
+def test_long_words_have_windows_in_linear_time():
+    assert personal_data.windows_of("x" * 200_000) == []
+    assert len(personal_data.windows_of("x" * 50_000 + "@" + "y" * 50_000)) > 2000
