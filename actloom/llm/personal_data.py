@@ -22,6 +22,7 @@ import hashlib
 import pickle
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ HOST = re.compile(rf"\s?[\w-]+(?:\s?{DOT}\s?[\w-]+)*", re.I)
 
 #: Documents that are fitted on, drawn evenly by a hash of the id.
 MAX_TRAIN = 600
+#: Windows, rules' spans and other sites of a training document, drawn evenly from the whole of it.
+TRAIN_WINDOWS, TRAIN_SPANS, TRAIN_SITES = 20, 6, 12
 WINDOW, STRIDE, MARGIN = 96, 48, 28
 EMBED, HIDDEN, BATCH, STEPS, RATE = 12, 16, 64, 260, 0.01
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
@@ -304,7 +307,12 @@ def tags_of(length: int, spans: list[Span]) -> np.ndarray:
     return out
 
 
-def training_windows(texts: list[str], seed: int = 17, each: int = 6) -> list[tuple[np.ndarray, np.ndarray]]:
+def drawn(items: list, at_most: int, rng: random.Random) -> list:
+    """At most so many of the items, from all places alike, in order."""
+    return items if len(items) <= at_most else [items[i] for i in sorted(rng.sample(range(len(items)), at_most))]
+
+
+def training_windows(texts: list[str], seed: int = 17, each: int = TRAIN_SPANS) -> list[tuple[np.ndarray, np.ndarray]]:
     """Windows with tags: around the rules' spans, around the same spans rewritten, and around lookalikes."""
     rng, out = random.Random(seed), []
     if not any(base_spans(t) for t in texts):
@@ -318,12 +326,12 @@ def training_windows(texts: list[str], seed: int = 17, each: int = 6) -> list[tu
         out.append((codes(whole)[:WINDOW], tags_of(len(whole), spans)[:WINDOW]))
 
     for text in texts:
-        spans = base_spans(text)[:each]
+        spans = drawn(base_spans(text), each, rng)
         for a, b, kind in spans:
             add(text[:a], text[a:b], text[b:], kind)
             for _ in range(2):
                 add(text[:a], rewritten(kind, text[a:b], rng), text[b:], kind)
-        sites = [m.start() for m in SITES.finditer(text)][: 2 * each]
+        sites = drawn([m.start() for m in SITES.finditer(text)], TRAIN_SITES, rng)
         for at in [*sites, *(rng.randrange(len(text) + 1) for _ in range(2))]:
             w = text[max(0, at - MARGIN) : at + WINDOW - MARGIN]
             out.append((codes(w), tags_of(len(w), base_spans(w))))
@@ -456,7 +464,8 @@ def fit(df: DataFrame, at_most: int = MAX_TRAIN) -> Network | None:
     def make():
         def work(cols: dict) -> dict:
             texts = [t or "" for t in cols["text"]]
-            return {"text": ["\n".join(t[max(0, a - 40) : b + 40] for a, b in windows_of(t)[:20]) for t in texts]}
+            some = [drawn(windows_of(t), TRAIN_WINDOWS, random.Random(zlib.crc32(t.encode()))) for t in texts]
+            return {"text": ["\n".join(t[max(0, a - 40) : b + 40] for a, b in w) for t, w in zip(texts, some)]}
 
         return work
 

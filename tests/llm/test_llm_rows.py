@@ -348,3 +348,9 @@ def test_windows_hold_every_form_of_an_address(address):
 def test_long_words_have_windows_in_linear_time():
     assert personal_data.windows_of("x" * 200_000) == []
     assert len(personal_data.windows_of("x" * 50_000 + "@" + "y" * 50_000)) > 2000
+
+
+def test_training_reaches_the_ends_of_long_documents(spark):
+    """Addresses after more sites than are drawn of one document are learned from too."""
+    docs = [(i, " ".join(f"{prose(50 * i + k, 12)} {1900 + k}" for k in range(30)) + f" mail me.{i}@mail.example.com") for i in range(40)]
+    assert personal_data.fit(spark.createDataFrame(docs, "doc_id long, text string")) is not None
