@@ -6,6 +6,7 @@ from actloom.llm import (
     html_text,
     language_model,
     near_duplicates,
+    packing,
     personal_data,
     quality_rules,
     quality_trees,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_near_duplicates": near_duplicates.query,
     "op9_language_model": language_model.query,
     "op10_quality_trees": quality_trees.query,
+    "op11_sequence_packing": packing.query,
 }
 ORACLES = {
     "op1_shard_documents": sharding.ORACLE,
