@@ -31,7 +31,7 @@ from actloom.llm.sharding import gapless
 LIMIT = 4096
 END = 1
 #: Characters of stretches that a worker remembers, and the longest stretch worth it.
-REMEMBER_CHARS = 8_000_000
+REMEMBER_CHARS = 12_000_000
 LONG_STRETCH = 200
 #: Ranks are counted in blocks of about so many rows of a length, in at least so many blocks.
 ROWS_A_BLOCK = 200_000
@@ -39,7 +39,6 @@ LEAST_BLOCKS = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACES = PIECES + ", sequence_id long, offset long"
 TAIL = ",.;:!?)"
-SPLIT = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 _loaded: dict[str, Stretches] = {}
 
@@ -56,11 +55,11 @@ class Stretches:
         self.chars = 0
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").translate(SPLIT).split(" ") for t in texts]
+        split = [spaced(t or "").split(" ") for t in texts]
         if self.chars > REMEMBER_CHARS:
             self.known, self.chars = {}, 0
         known = self.known
-        here = self.learn({w for words in split for w in words if w not in known})
+        here = self.learn(set().union(*split).difference(known))
         short = {w: i for w, i in here.items() if len(w) <= LONG_STRETCH}
         known.update(short)
         self.chars += sum(map(len, short))
@@ -78,6 +77,12 @@ class Stretches:
         return ids | {w: find(core) + find(tail) for w, (core, tail) in parts.items()}
 
 
+def spaced(text: str) -> str:
+    for blank in "\n\t\x0b\x0c\r":
+        text = text.replace(blank, " ")
+    return text
+
+
 def core_and_tail(stretch: str) -> tuple[str, str]:
     """A stretch in two parts whose tokens stand one after the other: ASCII punctuation after an ASCII letter is
     a token of its own. Plain ASCII is lowered here as the tokenizer would (not what may name a special token)."""
