@@ -102,3 +102,16 @@ def arrow_type(name: str) -> pa.DataType:
 
 def as_arrow(values, kind: pa.DataType) -> pa.Array:
     return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, type=kind)
+
+
+#: DuckDB SQL of a one-row table tab(t) that crc32_sql() needs beside the rows.
+CRC_TABLE = """tab AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x::BIGINT, [0::BIGINT, 1, 2, 3, 4, 5, 6, 7]),
+    lambda c, d: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+)"""
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a text's UTF-8 bytes."""
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({text})), '..'),
+      lambda h: ('0x' || h)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"""

@@ -2,6 +2,7 @@
 
 from actloom.llm import (
     byte_bpe,
+    conversation_repair,
     decontamination,
     html_text,
     language_model,
@@ -11,6 +12,7 @@ from actloom.llm import (
     quality_rules,
     quality_trees,
     sharding,
+    spelling_variants,
     toxicity,
 )
 
@@ -26,9 +28,13 @@ QUERIES = {
     "op9_language_model": language_model.query,
     "op10_quality_trees": quality_trees.query,
     "op11_sequence_packing": packing.query,
+    "op12_conversation_repair": conversation_repair.query,
+    "op13_spelling_variants": spelling_variants.query,
 }
 ORACLES = {
     "op1_shard_documents": sharding.ORACLE,
     "op6_decontamination": decontamination.ORACLE,
     "op8_near_duplicates": near_duplicates.ORACLE,
+    "op12_conversation_repair": conversation_repair.ORACLE,
+    "op13_spelling_variants": spelling_variants.ORACLE,
 }
