@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from actloom.functions import text as T
 from actloom.functions.arrays import let
+from actloom.lexicon.audit import CONFLICT_MAX_CHARS
 
 
 def is_object(v: Column) -> Column:
@@ -96,3 +97,60 @@ def unwrap(v: Column, text: Column | None = None) -> Column:
 def members(json: Column) -> Column:
     """Members of a JSON object as ``map<string,string>`` of raw JSON text."""
     return F.from_json(json, "map<string,string>")
+
+
+#: A JSON object with one of these keys is a feature.
+FEATURE_KEYS = ("value", "evidence_quote", "evidence_source", "confidence")
+
+
+def shape(raw: Column) -> Column:
+    """feature, object, empty (object), list or plain; NULL for JSON null."""
+    keys = F.json_object_keys(raw)
+    return (
+        F.when(F.arrays_overlap(keys, F.array(*[F.lit(k) for k in FEATURE_KEYS])), "feature")
+        .when(F.size(keys) > 0, "object")
+        .when(keys.isNotNull(), "empty")
+        .when(F.json_array_length(raw).isNotNull(), "list")
+        .when(raw.isNotNull(), "plain")
+    )
+
+
+def _node(path: Column, raw: Column) -> Column:
+    return let(shape(raw), lambda kind: F.struct(path.alias("path"), raw.alias("raw"), kind.alias("kind")))
+
+
+def _with_branch(path: Column, raw: Column, below: Column) -> Column:
+    """The members of an object, and the object itself where it is short enough to contradict a value."""
+    itself = F.array(F.struct(path.alias("path"), raw.alias("raw"), F.lit("branch").alias("kind")))
+    return F.when(F.length(raw) <= CONFLICT_MAX_CHARS, F.concat(itself, below)).otherwise(below)
+
+
+def first_level(section: str, body: str) -> Column:
+    """Members of a section with their shapes; a section that is no object is a leaf itself."""
+    name, raw = F.col(section), F.col(body)
+    fields = F.transform(F.map_entries(members(raw)), lambda m: _node(F.concat(name, F.lit("."), m["key"]), m["value"]))
+    return let(
+        shape(raw), lambda kind: F.when(kind == "object", _with_branch(name, raw, fields)).otherwise(F.array(_node(name, raw)))
+    )
+
+
+def leaves(path: Column, raw: Column, into_lists: bool = False) -> Column:
+    """Leaves below a JSON value to any depth: ``array<struct<path,raw,kind>>``. Lists are leaves, or their items
+    ``path[i]`` are opened too. A value opens at most as often as it has opening brackets."""
+
+    def opened(e: Column) -> Column:
+        fields = F.transform(
+            F.map_entries(members(e["raw"])), lambda m: _node(F.concat(e["path"], F.lit("."), m["key"]), m["value"])
+        )
+        out = F.when(e["kind"] == "object", _with_branch(e["path"], e["raw"], fields))
+        if into_lists:
+            place = lambda i: F.concat(e["path"], F.lit("["), i.cast("string"), F.lit("]"))
+            items = F.from_json(e["raw"], "array<string>")
+            out = out.when(e["kind"] == "list", F.transform(items, lambda x, i: _node(place(i), x)))
+        return out.otherwise(F.array(e))
+
+    rounds = F.regexp_count(raw, F.lit(r"[{\[]"))
+    start = F.array(_node(path, raw))
+    return F.when(rounds == 0, start).otherwise(
+        F.aggregate(F.sequence(F.lit(1), rounds), start, lambda found, _: F.flatten(F.transform(found, opened)))
+    )

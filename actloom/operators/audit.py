@@ -1,8 +1,10 @@
 """Merge, validate and score model features; derive the final category.
 
 All of it works on one long table ``features(doc_id, extractor_seq, extractor,
-path, value, evidence_quote, evidence_source, confidence, is_feature)``. Merging
+path, value, evidence_quote, evidence_source, confidence, is_feature, kind)``. Merging
 is a set operation: aggregates with map-side combine, no per-document fold.
+``kind`` is the shape of an answer's leaf: feature, list, plain; ``branch`` marks a short
+object whose members are rows of their own (it takes part in conflicts only).
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from actloom.session import cut_lineage
 
 FEATURE_COLUMNS = (
     "doc_id", "extractor_seq", "extractor", "path", "value",
-    "evidence_quote", "evidence_source", "confidence", "is_feature",
+    "evidence_quote", "evidence_source", "confidence", "is_feature", "kind",
 )
 _FEATURE_TYPE = "value string, evidence_quote string, evidence_source string, confidence string"
 
@@ -76,18 +78,6 @@ def normalize_binary(path: Column, value: Column) -> Column:
     )
 
 
-def values_conflict(left: Column, right: Column) -> Column:
-    """Both known, different, and both short enough to be codes, not prose."""
-    l, r = semantic_key(left), semantic_key(right)
-    return (
-        ~is_unknown(left)
-        & ~is_unknown(right)
-        & (l != r)
-        & (F.length(l) <= L.CONFLICT_MAX_CHARS)
-        & (F.length(r) <= L.CONFLICT_MAX_CHARS)
-    )
-
-
 def judged(features: DataFrame) -> DataFrame:
     """Adds normalised value, key and the known / evidence / accepted flags."""
     out = stage(features, value=normalize_binary(F.col("path"), F.col("value")))
@@ -126,50 +116,60 @@ def read_answers(responses: DataFrame) -> DataFrame:
 
 
 def section_rows(answers: DataFrame) -> DataFrame:
-    """One row per section of a usable answer."""
+    """One row per section of a usable answer. Members of an ``annotation`` object inside the answer are
+    sections too (``inner``)."""
     usable = answers.filter(F.col("parse_error").isNull() & F.col("answer").isNotNull())
-    return usable.select(
+    rows = usable.select(
         "doc_id", "extractor_seq", "extractor", F.explode(A.members(F.col("answer"))).alias("section", "body")
     ).filter(~F.col("section").isin(*L.IGNORED_SECTIONS))
+    whole = F.array(F.struct("section", "body", F.lit(False).alias("inner")))
+    inside = F.transform(
+        F.map_entries(A.members(F.col("body"))),
+        lambda m: F.struct(m["key"].alias("section"), m["value"].alias("body"), F.lit(True).alias("inner")),
+    )
+    routed = F.when((F.col("section") == "annotation") & F.json_object_keys("body").isNotNull(), inside).otherwise(whole)
+    return rows.select("doc_id", "extractor_seq", "extractor", F.inline(routed))
 
 
 def features_from_sections(sections: DataFrame) -> DataFrame:
-    """Long feature table from routed sections; the derived section is ignored."""
-    rows = sections.filter(
-        F.col("section").isin(*L.SECTIONS) & (F.col("section") != "economic_dispute")
-    ).select(
-        "doc_id", "extractor_seq", "extractor", "section",
-        F.explode(A.members(F.col("body"))).alias("field", "raw"),
-    )
-    keys = F.json_object_keys("raw")
-    is_feature = F.coalesce(
-        F.arrays_overlap(keys, F.array(*[F.lit(k) for k in ("value", "evidence_quote", "evidence_source", "confidence")])),
-        F.lit(False),
-    )
-    parsed = stage(
-        stage(rows, is_feature=is_feature), f=F.when(F.col("is_feature"), F.from_json("raw", _FEATURE_TYPE))
+    """Long feature table from routed sections: every leaf of an answer, whatever its shape.
+
+    A leaf is a feature, a list or a plain value; objects are opened to any depth, and a section may itself be
+    a leaf. JSON nulls and empty objects state nothing. The derived section is ignored.
+    """
+    wanted = sections.filter(
+        F.col("section").isin(*L.SECTIONS) & ((F.col("section") != "economic_dispute") | F.col("inner"))
     )
-    return parsed.select(
-        "doc_id", "extractor_seq", "extractor",
-        F.concat_ws(".", "section", "field").alias("path"),
-        F.when(F.col("is_feature"), F.col("f.value")).otherwise(F.col("raw")).alias("value"),
-        F.col("f.evidence_quote").alias("evidence_quote"),
-        F.col("f.evidence_source").alias("evidence_source"),
-        F.col("f.confidence").alias("confidence"),
-        "is_feature",
+    leaves = wanted.select("doc_id", "extractor_seq", "extractor", F.inline(A.first_level("section", "body")))
+    deep = F.when(F.col("kind") == "object", A.leaves(F.col("path"), F.col("raw"))).otherwise(
+        F.array(F.struct("path", "raw", "kind"))
     )
+    opened = leaves.select("doc_id", "extractor_seq", "extractor", F.inline(deep)).filter("kind <> 'empty'")
+    return _leaf_features(opened).select(*FEATURE_COLUMNS)
+
+
+def _leaf_features(rows: DataFrame) -> DataFrame:
+    """Value, quote, source and confidence of leaves (path, raw, kind)."""
+    is_feature = F.col("kind") == "feature"
+    parsed = stage(rows, is_feature=is_feature, f=F.when(is_feature, F.from_json("raw", _FEATURE_TYPE)))
+    return parsed.withColumns({
+        "value": F.when(F.col("is_feature"), F.col("f.value")).otherwise(F.col("raw")),
+        **{c: F.col(f"f.{c}") for c in ("evidence_quote", "evidence_source", "confidence")},
+    }).drop("f", "raw")
 
 
 def structural_warnings(sections: DataFrame) -> DataFrame:
     """Sections nobody asked for, and model-supplied derived sections."""
+    section, inner = F.col("section"), F.col("inner")
+    derived = (section == "economic_dispute") & ~inner
     return sections.select(
         "doc_id",
-        F.when(F.col("section") == "economic_dispute", "annotation.economic_dispute")
-        .otherwise(F.col("section"))
-        .alias("path"),
-        F.when(F.col("section") == "economic_dispute", "llm_economic_dispute_ignored_basket_is_derived_only")
-        .when(~F.col("section").isin(*L.SECTIONS), "unexpected_top_level_section_from_extractor")
+        F.when(derived | inner, F.concat(F.lit("annotation."), section)).otherwise(section).alias("path"),
+        F.when(derived, "llm_economic_dispute_ignored_basket_is_derived_only")
+        .when(~section.isin(*L.SECTIONS) & inner, "unexpected_section_from_extractor")
+        .when(~section.isin(*L.SECTIONS), "unexpected_top_level_section_from_extractor")
         .alias("reason"),
+        "extractor",
     ).filter(F.col("reason").isNotNull())
 
 
@@ -208,7 +208,7 @@ def metadata_features(headers: DataFrame) -> DataFrame:
         F.lit(-1).cast("bigint").alias("extractor_seq"),
         F.lit("header").alias("extractor"),
         F.inline(F.filter(entries, lambda e: e.isNotNull())),
-        F.lit(True).alias("is_feature"),
+        F.lit(True).alias("is_feature"), F.lit("feature").alias("kind"),
     ).select(*FEATURE_COLUMNS)
 
 
@@ -236,11 +236,11 @@ def winners(flagged: DataFrame) -> DataFrame:
     Two map-side combined aggregations; no group is ever materialised.
     """
     row = F.struct(
-        "value", "evidence_quote", "evidence_source", "confidence", "extractor_seq", "is_feature", "known"
+        "value", "evidence_quote", "evidence_source", "confidence", "extractor_seq", "is_feature", "known", "kind"
     )
     seq = F.struct("extractor_seq", "value_key")
     accepted = F.col("accepted")
-    by_value = flagged.groupBy("doc_id", "path", "value_key").agg(
+    by_value = flagged.filter("kind <> 'branch'").groupBy("doc_id", "path", "value_key").agg(
         F.min(F.when(accepted, F.col("extractor_seq"))).alias("first_accepted"),
         F.min_by(row, F.when(accepted, seq)).alias("accepted_row"),
         F.min_by(row, F.when(accepted & F.col("quoted"), seq)).alias("quoted_row"),
@@ -269,63 +269,156 @@ def winners(flagged: DataFrame) -> DataFrame:
         "doc_id", "path",
         pick("value", "unknown"), pick("evidence_quote", ""), pick("evidence_source", "none"),
         pick("confidence", "low"),
-        F.when(won, F.col("w.r.is_feature")).otherwise(F.col("fallback.is_feature")).alias("is_feature"),
+        *(F.when(won, F.col(f"w.r.{c}")).otherwise(F.col(f"fallback.{c}")).alias(c) for c in ("is_feature", "kind")),
         won.alias("accepted"),
         F.col("w.value_key").alias("value_key"),
         F.when(won, F.col("w.r.extractor_seq")).alias("extractor_seq"),
     )
 
 
+def _short(key: Column) -> Column:
+    return F.length(key) <= L.CONFLICT_MAX_CHARS
+
+
+def _conflict(left: str, right: str) -> list[Column]:
+    """Columns of a conflict between two structs of a flagged row's columns."""
+    feature = F.col(f"{left}.is_feature") | F.col(f"{right}.is_feature")
+
+    def source(side: str) -> Column:
+        return F.when(feature, F.coalesce(F.col(f"{side}.evidence_source"), F.lit("none")))
+
+    return [
+        F.col("doc_id"), F.col("path"),
+        F.col(f"{left}.value").alias("left_value"), F.col(f"{right}.value").alias("right_value"),
+        source(left).alias("left_source"), source(right).alias("right_source"),
+        F.when(feature, "conflicting_accepted_values").otherwise("conflicting_plain_values").alias("reason"),
+    ]
+
+
+_SIDE = ("value", "value_key", "evidence_source", "is_feature", "kind", "extractor_seq")
+
+
 def feature_conflicts(flagged: DataFrame, won: DataFrame) -> DataFrame:
-    """Later accepted rows that contradict the winner, one row each.
+    """Later accepted rows that contradict the winner, one row each. Two lists never do: they are united.
 
     Equi-join on (doc_id, path); a hot key is split by the adaptive skew join.
     """
-    w = won.filter("accepted").select(
-        "doc_id", "path",
-        F.col("value").alias("left_value"), F.col("value_key").alias("left_key"),
-        F.col("evidence_source").alias("left_source"),
-    )
-    short = lambda c: F.length(c) <= L.CONFLICT_MAX_CHARS
+    left = won.filter(F.col("accepted") & _short(F.col("value_key"))).select("doc_id", "path", F.struct(*_SIDE).alias("l"))
+    right = flagged.filter(F.col("accepted") & (F.col("kind") != "branch") & _short(F.col("value_key")))
     return (
-        flagged.filter(F.col("accepted") & short(F.col("value_key")))
-        .join(w.filter(short(F.col("left_key"))), ["doc_id", "path"])
-        .filter(F.col("value_key") != F.col("left_key"))
-        .select(
-            "doc_id", "path", "left_value", F.col("value").alias("right_value"),
-            "left_source", F.col("evidence_source").alias("right_source"),
-            F.lit("conflicting_accepted_values").alias("reason"),
-        )
+        right.select("doc_id", "path", F.struct(*_SIDE).alias("r")).join(left, ["doc_id", "path"])
+        .filter((F.col("l.value_key") != F.col("r.value_key")) & ((F.col("l.kind") != "list") | (F.col("r.kind") != "list")))
+        .select(*_conflict("l", "r"))
     )
 
 
-def merge_features(features: DataFrame) -> Merged:
-    """Merge of all extractors. Flags and winners are read many times by the checks,
-    so both are materialised in the shared checkpoint folder."""
-    flagged = cut_lineage(judged(features))
-    won = cut_lineage(winners(flagged))
-    conflicts = feature_conflicts(flagged, won)
-    warned = conflicts.select("doc_id", "path").distinct().withColumn(
-        "audit_warning", F.lit("conflict_detected_manual_review_required")
+# ---------------------------------------------------------------- mixed shapes
+
+def _parts(path: str = "path") -> Column:
+    return F.split(path, r"\.")
+
+
+def _parents(least: int) -> Column:
+    """Paths above a path, from so many parts on."""
+    n = F.size(_parts())
+    return F.transform(
+        F.when(n > least, F.sequence(F.lit(least), n - 1)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.array_join(F.slice(_parts(), 1, i), "."),
     )
-    return Merged(won.join(warned, ["doc_id", "path"], "left"), rejected_features(flagged), conflicts)
+
+
+def resolve_shapes(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows without the losing shapes, and the conflicts between shapes.
+
+    Where one answer has an object at a path and another a leaf, the shape that was first accepted stays; an
+    object is accepted as such. Rows of the other shape go: the leaves at the path, or all below it. Only paths of
+    other than two parts can be mixed, so both sides of the joins start from these rare rows.
+    """
+    leaf = flagged.filter("kind <> 'branch'")
+    depth = F.size(_parts())
+    top = leaf.filter(depth == 1).select("doc_id", F.col("path").alias("above")).distinct()
+    first = F.min("extractor_seq").alias("branch_seq")
+    in_sections = leaf.filter(depth > 1).withColumn("above", F.get(_parts(), F.lit(0))).join(top, ["doc_id", "above"], "left_semi")
+    in_objects = leaf.filter(depth > 2).select("doc_id", "extractor_seq", F.explode(_parents(2)).alias("above"))
+    branches = in_sections.groupBy("doc_id", "above").agg(first).unionByName(in_objects.groupBy("doc_id", "above").agg(first))
+    met = leaf.join(branches.withColumnRenamed("above", "path"), ["doc_id", "path"])
+    verdict = cut_lineage(met.groupBy("doc_id", "path").agg(
+        F.min("branch_seq").alias("branch_seq"),
+        F.coalesce(F.min(F.when(F.col("accepted"), F.col("extractor_seq"))) < F.min("branch_seq"), F.lit(False)).alias("leaf_wins"),
+    ), "shapes")
+    objects = verdict.filter(~F.col("leaf_wins"))
+    above = verdict.filter("leaf_wins").select("doc_id", F.col("path").alias("above"))
+    hidden = leaf.select("doc_id", "path", F.explode(_parents(1)).alias("above")).join(above, ["doc_id", "above"], "left_semi")
+    lost = objects.select("doc_id", "path").unionByName(hidden.select("doc_id", "path").distinct())
+    kept = leaf.join(lost, ["doc_id", "path"], "left_anti")
+
+    side = F.struct(*_SIDE)
+    short = flagged.filter(_short(F.col("value_key")))
+    object_side = short.filter("kind = 'branch'").join(verdict, ["doc_id", "path"]).select(
+        "doc_id", "path", "leaf_wins", "branch_seq", side.alias("o")
+    )
+    leaf_side = short.filter(F.col("accepted") & (F.col("kind") != "branch")).join(verdict.select("doc_id", "path"), ["doc_id", "path"])
+    leaf_side = leaf_side.select("doc_id", "path", side.alias("f"))
+    first_leaf = leaf_side.groupBy("doc_id", "path").agg(F.min_by("f", F.struct("f.extractor_seq", "f.value_key")).alias("f"))
+    first_object = object_side.filter(~F.col("leaf_wins") & (F.col("o.extractor_seq") == F.col("branch_seq")))
+    conflicts = (
+        object_side.filter("leaf_wins").join(first_leaf, ["doc_id", "path"]).select(*_conflict("f", "o"))
+        .unionByName(first_object.join(leaf_side, ["doc_id", "path"]).select(*_conflict("o", "f")))
+    )
+    return kept, conflicts
 
 
 def merge_lists(features: DataFrame) -> DataFrame:
-    """Union of list values per path, first occurrence first.
+    """Union of list values per path, first occurrence first, as a JSON array; paths with several lists only.
 
-    Items are reduced to distinct keys (map-side combined) before collecting.
+    Items are reduced to distinct keys (map-side combined) before they are put together, and what is put
+    together is one value of the result.
     """
-    items = features.filter(F.startswith("value", F.lit("["))).select(
-        "doc_id", "path", "extractor_seq", F.posexplode(F.from_json("value", "array<string>")).alias("i", "item")
+    several = features.groupBy("doc_id", "path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = F.transform(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>"), lambda v: F.to_json(v))
+    items = features.join(several, ["doc_id", "path"], "left_semi").select(
+        "doc_id", "path", "extractor_seq", F.posexplode(members).alias("i", "item")
     )
-    return (
+    united = (
         items.groupBy("doc_id", "path", semantic_key(F.col("item")).alias("k"))
         .agg(F.min(F.struct("extractor_seq", "i", "item")).alias("f"))
         .groupBy("doc_id", "path")
         .agg(F.array_sort(F.collect_list("f")).alias("f"))
-        .select("doc_id", "path", F.to_json(F.transform("f", lambda x: x["item"])).alias("value"))
     )
+    joined = F.array_join(F.transform("f", lambda x: x["item"]), ",")
+    return united.select("doc_id", "path", F.concat(F.lit("["), joined, F.lit("]")).alias("value"))
+
+
+def with_lists(won: DataFrame, flagged: DataFrame) -> DataFrame:
+    """Winners whose lists hold the items of all accepted lists of their path."""
+    united = merge_lists(flagged.filter("kind = 'list' AND accepted")).withColumnRenamed("value", "united")
+    is_list = F.col("accepted") & (F.col("kind") == "list") & F.col("united").isNotNull()
+    value = F.when(is_list, F.col("united")).otherwise(F.col("value"))
+    out = won.join(united, ["doc_id", "path"], "left").withColumn("value", value)
+    return out.withColumn("value_key", F.when(is_list, semantic_key(F.col("value"))).otherwise(F.col("value_key"))).drop("united")
+
+
+def merge_features(features: DataFrame) -> Merged:
+    """Merge of all extractors. Flags and winners are read many times by the checks,
+    so both are materialised in the shared checkpoint folder."""
+    flagged = cut_lineage(judged(features))
+    kept, mixed = resolve_shapes(flagged)
+    won = cut_lineage(with_lists(winners(kept), kept))
+    conflicts = feature_conflicts(kept, won).unionByName(mixed)
+    warned = conflicts.select("doc_id", "path").distinct().withColumn(
+        "audit_warning", F.lit("conflict_detected_manual_review_required")
+    )
+    return Merged(won.join(warned, ["doc_id", "path"], "left"), rejected_features(flagged), conflicts)
+
+
+def all_features(annotation: DataFrame) -> DataFrame:
+    """Feature rows of an annotation, those inside lists included (``path[i]``), with their accepted flag."""
+    columns = ["doc_id", "path", "value", "evidence_quote", "evidence_source", "confidence"]
+    listed = annotation.filter("kind = 'list'").select("doc_id", F.inline(A.leaves(F.col("path"), F.col("value"), into_lists=True)))
+    inside = _leaf_features(listed.filter("kind = 'feature'")).withColumn(
+        "accepted", ~is_unknown(F.col("value")) & has_evidence(F.col("evidence_quote"), F.col("evidence_source"))
+    )
+    return annotation.filter("is_feature").select(*columns, "accepted").unionByName(inside.select(*columns, "accepted"))
 
 
 # ----------------------------------------------------------------- wide values
@@ -645,8 +738,8 @@ def logic_issues(wide: DataFrame) -> DataFrame:
     return wide.select("doc_id", F.inline(F.array_compact(F.array(*entries))))
 
 
-def evidence_warnings(annotation: DataFrame) -> DataFrame:
-    """Four evidence checks per feature of the final annotation."""
+def evidence_warnings(features: DataFrame) -> DataFrame:
+    """Four evidence checks for each of ``all_features``."""
     quote, source = T.audit_text(F.col("evidence_quote")), T.audit_text(F.col("evidence_source"))
     known = ~is_unknown(F.col("value"))
 
@@ -670,9 +763,7 @@ def evidence_warnings(annotation: DataFrame) -> DataFrame:
             ),
         )
     )
-    return annotation.filter("is_feature").select(
-        "doc_id", F.concat(F.lit("annotation."), F.col("path")).alias("path"), F.inline(checks)
-    )
+    return features.select("doc_id", F.concat(F.lit("annotation."), F.col("path")).alias("path"), F.inline(checks))
 
 
 def needed_context(path: Column) -> Column:
@@ -782,23 +873,31 @@ def audit_merged(
 ) -> Audit:
     """Audit of merged features. ``docs`` lists every document to be audited."""
     base = docs.select("doc_id").distinct()
-    wide = cut_lineage(derived_category(
+    wide = derived_category(
         base.join(accepted_wide(merged.annotation), "doc_id", "left")
         .na.fill("unknown", [wide_name(p) for p in RULE_PATHS])
         .withColumn("present_paths", F.coalesce("present_paths", F.array().cast("array<string>")))
-    ))
+    )
+    wide = cut_lineage(stage(wide, _b=checked_basket(F.col("basket"))).withColumns({
+        "basket": F.col("_b.value"), "basket_warning": F.col("_b.warning"),
+        "basket_confidence": F.when(F.col("_b.warning").isNotNull(), "low").otherwise(F.col("basket_confidence")),
+    }).drop("_b"))
+    unlisted = wide.filter("basket_warning IS NOT NULL").select(
+        "doc_id", F.lit("annotation." + L.BASKET).alias("path"), F.col("basket_warning").alias("reason"))
     annotation = merged.annotation.filter(F.col("path") != L.BASKET).unionByName(
         derived_features(wide), allowMissingColumns=True
     )
+    features = all_features(annotation)
     missing = missing_fields(wide)
     issues = (
         _issues(merged.conflicts.withColumn("value", F.col("right_value")), "field_conflict", "critical")
         .unionByName(_issues(merged.rejected, "rejected_field"))
         .unionByName(_issues(logic_issues(wide), "logical_inconsistency"))
-        .unionByName(_issues(evidence_warnings(annotation), "evidence_warning"))
+        .unionByName(_issues(evidence_warnings(features), "evidence_warning"))
         .unionByName(_issues(missing.filter("priority = 'absolute_key'"), "missing_key_field"))
         .unionByName(_issues(missing.filter("priority = 'soft_key'"), "soft_missing_field"))
         .unionByName(_issues(warnings, "structural_warning"))
+        .unionByName(_issues(unlisted, "structural_warning"))
         .unionByName(_issues(errors, "extractor_error"))
     )
 
@@ -818,7 +917,7 @@ def audit_merged(
         n("structural_warning", F.col("reason") != STRUCTURAL_IGNORED).alias("serious_structural_count"),
         n("extractor_error").alias("extractor_errors_count"),
     )
-    accepted = annotation.groupBy("doc_id").agg(F.count_if("accepted").alias("accepted_fields_count"))
+    accepted = features.groupBy("doc_id").agg(F.count_if("accepted").alias("accepted_fields_count"))
     per_doc = (
         wide.select("doc_id", "basket", "basket_confidence", "matched_rules")
         .join(counts, "doc_id", "left")

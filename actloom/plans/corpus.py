@@ -183,3 +183,38 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("doc_id"), line_seq().alias("extractor_seq"), F.lit("line").alias("extractor"),
         wrapped.alias("answer_text"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("skipped"),
     )
+
+
+def shaped_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One answer per line item whose shapes vary by key: the same field is a feature, an object of features, a
+    list or a plain text; a section is a list or an object; some answers have sections of their own."""
+    lines = _spread(spark, table(spark, sf_dir, "lineitem"))
+    third = lambda c: (F.col(c).cast("int") % 3).cast("string")
+    part, qty, supp = third("l_partkey"), third("l_quantity"), F.col("l_suppkey")
+
+    def feature(value: Column) -> Column:
+        rest = '","evidence_quote":"цитата","evidence_source":"zone=court_reasoning","confidence":"high"}'
+        return F.concat(F.lit('{"value":"'), value, F.lit(rest))
+
+    terms = (
+        F.when(supp % 4 == 0, feature(F.concat(F.lit("t"), part)))
+        .when(supp % 4 == 1, F.concat(
+            F.lit('{"rate":'), feature(F.concat(F.lit("r"), part)), F.lit(',"period":{"days":'), feature(F.concat(F.lit("d"), qty)), F.lit("}}")))
+        .when(supp % 4 == 2, F.concat(F.lit('["l'), part, F.lit('","l'), qty, F.lit('"]')))
+        .otherwise(F.concat(F.lit('"plain'), part, F.lit('"')))
+    )
+    motives = F.when(F.col("l_partkey") % 5 == 0, F.concat(F.lit('["m'), part, F.lit('","m'), qty, F.lit('"]'))).otherwise(
+        F.concat(F.lit('{"motivation_crisis":'), feature(F.lit("да")), F.lit("}"))
+    )
+    extra = (
+        F.when(supp % 7 == 3, ',"lishnee":{}')
+        .when(supp % 7 == 4, F.concat(F.lit(',"economic_dispute":{"economic_dispute_basket":'), feature(F.lit("mixed")), F.lit("}")))
+        .when(supp % 7 == 5, F.concat(F.lit(',"annotation":{"strange":{},"claim":{"claim_type":'), feature(F.lit("loan")), F.lit("}}")))
+        .otherwise("")
+    )
+    body = F.concat(F.lit('{"market_terms":{"terms":'), terms, F.lit('},"motivation":'), motives, extra, F.lit("}"))
+    return lines.select(
+        F.col("l_orderkey").alias("doc_id"), line_seq().alias("extractor_seq"), F.lit("line").alias("extractor"),
+        F.when(supp % 7 == 5, F.concat(F.lit('{"annotation":'), body, F.lit("}"))).otherwise(body).alias("answer_text"),
+        F.lit(None).cast("string").alias("error"), F.lit(False).alias("skipped"),
+    )

@@ -206,8 +206,8 @@ def manual_review(spark, sf_dir):
 
 
 def evidence_warnings(spark, sf_dir):
-    rows = _features(spark, sf_dir).withColumn("confidence", F.when(F.col("evidence_quote") == "", "нет").otherwise(F.col("confidence")))
-    return AU.evidence_warnings(rows).groupBy("path", "reason").agg(F.count(F.lit(1)).alias("n"))
+    rows = _features(spark, sf_dir).withColumn("accepted", F.lit(True)).withColumn("confidence", F.when(F.col("evidence_quote") == "", "нет").otherwise(F.col("confidence")))
+    return AU.evidence_warnings(AU.all_features(rows)).groupBy("path", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def similarity_view(spark, sf_dir):
