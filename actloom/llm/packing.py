@@ -31,7 +31,7 @@ from actloom.llm.sharding import gapless
 LIMIT = 4096
 END = 1
 #: Characters of stretches that a worker remembers, and the longest stretch worth it.
-REMEMBER_CHARS = 12_000_000
+REMEMBER_CHARS = 9_000_000
 LONG_STRETCH = 200
 #: Ranks are counted in blocks of about so many rows of a length, in at least so many blocks.
 ROWS_A_BLOCK = 200_000
@@ -56,10 +56,12 @@ class Stretches:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [spaced(t or "").split(" ") for t in texts]
-        if self.chars > REMEMBER_CHARS:
-            self.known, self.chars = {}, 0
+        seen = set().union(*split)
+        if self.chars > REMEMBER_CHARS:  # what is met again right now stays
+            self.known = {w: self.known[w] for w in seen if w in self.known}
+            self.chars = sum(map(len, self.known))
         known = self.known
-        here = self.learn(set().union(*split).difference(known))
+        here = self.learn(seen.difference(known))
         short = {w: i for w, i in here.items() if len(w) <= LONG_STRETCH}
         known.update(short)
         self.chars += sum(map(len, short))
