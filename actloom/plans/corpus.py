@@ -218,3 +218,67 @@ def shaped_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(supp % 7 == 5, F.concat(F.lit('{"annotation":'), body, F.lit("}"))).otherwise(body).alias("answer_text"),
         F.lit(None).cast("string").alias("error"), F.lit(False).alias("skipped"),
     )
+
+
+# ------------------------------------------------------- answers about the acts
+
+#: Values of the required fields in the answers about acts; the claim's type comes apart.
+ACT_VALUES = (
+    ("claim", "claim_origin", "real_deal"), ("creditor_profile", "creditor_status", "independent"),
+    ("creditor_profile", "formal_affiliation_found", "no"), ("creditor_profile", "factual_affiliation_found", "no"),
+    ("creditor_profile", "control_found", "no"), ("crisis", "crisis_status", "no_crisis"),
+    ("proof", "performance_fact_proven", "yes"), ("proof", "court_recognized_debt_real", "yes"),
+    ("proof", "court_doubted_reality", "no"), ("proof", "court_found_sham_or_artificial", "no"),
+    ("qualification", "legal_qualification", "included_general"), ("qualification", "key_reason_category", "market_behavior"),
+)
+
+
+def _act_feature(value: Column, quote: str = "цитата") -> Column:
+    return F.struct(
+        value.alias("value"), F.lit(quote).alias("evidence_quote"), F.lit("zone=court_reasoning").alias("evidence_source"),
+        F.lit("high").alias("confidence"),
+    )
+
+
+def act_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers about the act of a customer: all required fields; the claim's type is known for keys 0 and 1 of 5,
+    contradicted by a second answer for key 1, and unknown for the others."""
+    k = F.col("c_custkey")
+    claim = _act_feature(F.when(k % 5 < 2, "cession").otherwise("unknown")).alias("claim_type")
+    sections = dict.fromkeys(s for s, _, _ in ACT_VALUES)
+    fields = {s: [_act_feature(F.lit(v)).alias(f) for t, f, v in ACT_VALUES if t == s] for s in sections}
+    body = F.struct(*(F.struct(*([claim] if s == "claim" else []), *fs).alias(s) for s, fs in fields.items()))
+    second = F.when(k % 5 == 1, F.to_json(F.struct(F.struct(_act_feature(F.lit("loan")).alias("claim_type")).alias("claim"))))
+    rows = table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.posexplode(F.array(F.to_json(body), second)).alias("i", "answer_text"))
+    return rows.filter("answer_text IS NOT NULL").select(
+        "doc_id", F.col("i").cast("bigint").alias("extractor_seq"), F.lit("claimEconomics").alias("extractor"), "answer_text",
+        F.lit(None).cast("string").alias("error"), F.lit(False).alias("skipped"),
+    )
+
+
+def act_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies about acts, one for each order of a customer; they name a sentence that the act may have or not."""
+    k = F.col("o_orderkey")
+    ids = F.array(F.concat(F.lit("s"), F.lpad((k % 40 + 5).cast("string"), 5, "0")))
+    card = F.get(F.array(*[F.lit(c) for c in ("claimAndDealCard", "courtAssessmentCard", "proofAndEvidenceCard")]), (k % 3).cast("int"))
+    text = F.concat(F.lit("CARD_BLOCKS:\n[send_to: "), card, F.lit("]\n- Платеж П"), k.cast("string"), F.lit(" подтвержден судами.\n"))
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("doc_id"), k.alias("annotation_seq"), F.concat(F.lit("w"), k.cast("string")).alias("window_id"),
+        F.lit("z004").alias("zone_id"), F.lit("court_reasoning").alias("zone_type"),
+        F.array(F.date_format("o_orderdate", "dd.MM.yyyy")).alias("dates"), ids.alias("sentence_ids"), ids.alias("date_sentence_ids"),
+        text.alias("annotation_text"),
+    )
+
+
+def act_refinements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to the refill of acts whose claim's type is unknown: with a quote for keys 2 and 3 of 5, without
+    one for key 4, and an error for every seventh act."""
+    k = F.col("c_custkey")
+    answer = F.when(k % 5 == 4, F.to_json(F.struct(F.struct(_act_feature(F.lit("cession"), "").alias("claim_type")).alias("claim")))).otherwise(
+        F.to_json(F.struct(F.struct(_act_feature(F.lit("cession")).alias("claim_type")).alias("claim")))
+    )
+    return table(spark, sf_dir, "customer").filter(k % 5 > 1).select(
+        k.alias("doc_id"), F.lit(0).cast("bigint").alias("extractor_seq"), F.lit("claimEconomics").alias("extraction_type"),
+        F.array(F.lit("annotation.claim.claim_type")).alias("target_paths"), answer.alias("answer_text"),
+        F.when(k % 7 == 0, "timeout").alias("error"),
+    )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from actloom.lexicon import ru_acts as RU
 from actloom.operators import header as HE
 from actloom.operators import requests as RQ
 from actloom.operators import segment as SE
@@ -18,6 +19,8 @@ from actloom.plans import corpus as CO
 from actloom.plans.analyze import segmented
 from actloom.session import cut_lineage
 
+#: All categories of citations.
+CITED = [name for name, _ in RU.CITATIONS]
 _MONTHS = "['января','февраля','марта','апреля','мая','июня','июля','августа','сентября','октября','ноября','декабря']"
 
 # Sentences of the reasoning zone in order: one opening sentence, then per line
@@ -121,8 +124,8 @@ def act_zone_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def act_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = SE.sentence_rows(SE.split_sentences(_zoned(spark, sf_dir)))
-    return rows.filter("zone_type = 'court_reasoning'").select(
-        "doc_id", "sentence_id", F.col("global_index").cast("bigint").alias("global_index"),
+    return rows.select(
+        "doc_id", "sentence_id", "zone_type", F.col("global_index").cast("bigint").alias("global_index"),
         F.col("zone_sentence_index").cast("bigint").alias("zone_sentence_index"), "text",
         F.array_join("dates", ",").alias("dates"), F.array_join("weak_dates", ",").alias("weak_dates"), "has_date",
     )
@@ -141,7 +144,7 @@ def act_sentences_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def act_first_dated_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = SE.sentence_rows(SE.split_sentences(_zoned(spark, sf_dir)))
-    top = SE.first_dated_sentences(rows.filter("zone_type = 'court_reasoning'"), 100)
+    top = SE.first_dated_sentences(rows, 100)
     return top.select("doc_id", "sentence_id", "text")
 
 
@@ -162,7 +165,7 @@ def act_citation_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def act_citation_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TA.hits_wide(TA.reference_hits(_sentences(spark, sf_dir)), ["code_articles", "federal_laws"])
+    return TA.hits_wide(TA.reference_hits(_sentences(spark, sf_dir)), CITED)
 
 
 def act_citation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,6 +261,25 @@ _DISPUTE = (
     "'по заявлению общества с ограниченной ответственностью \"Клиент ' || c_custkey || "
     "'\" о включении требования в реестр требований кредиторов'"
 )
+#: All sentences of the acts in order, with zones: header, two of the procedural history, the party's position,
+#: the reasoning (the operative part is no sentence row).
+ACT_SENTENCES = (
+    _SENTENCES
+    + f""",
+sents AS (
+  SELECT c_custkey AS doc_id, 1 AS g, 1 AS zi, 'header' AS zone_type, 'z001' AS zone_id, 1 AS page_end,
+    'АРБИТРАЖНЫЙ СУД УРАЛЬСКОГО ОКРУГА ПОСТАНОВЛЕНИЕ ' || {_DATE} || ' Дело № ' || {_CASE}
+    || ' Арбитражный суд в составе судей Ивановой А. А., Петрова Б. Б. рассмотрел жалобу ' || {_DISPUTE}
+    || ' в рамках дела о несостоятельности (банкротстве) ' || {_DEBTOR} AS text,
+    -- A case number whose middle is a month reads as a date.
+    CASE WHEN c_custkey BETWEEN 1 AND 12 THEN substr({_CASE}, 2) || ',' ELSE '' END || {_DATE} AS dates, '' AS weak, true AS dated
+  FROM customer
+  UNION ALL SELECT c_custkey, 2, 1, 'procedural_history', 'z002', 1, 'установил:', '', '', false FROM customer
+  UNION ALL SELECT c_custkey, 3, 2, 'procedural_history', 'z002', 1, 'В рамках дела о банкротстве открыто конкурсное производство.', '', '', false FROM customer
+  UNION ALL SELECT c_custkey, 4, 1, 'party_position', 'z003', 1, 'В кассационной жалобе заявитель просит отменить судебные акты.', '', '', false FROM customer
+  UNION ALL SELECT doc_id, global_index, zone_index, 'court_reasoning', 'z004', p, text, coalesce(d, ''),
+    CASE WHEN kind = 'W' THEN '2019 года' ELSE '' END, kind IN ('D', 'W') FROM reasoning JOIN lastp USING (doc_id))"""
+)
 # Characters of a line page without its last line ("стр. n").
 _LINE = (
     "length('Платеж П' || o_orderkey || ' от 01.01.2000 подтвержден.') + 1 + 23 * (o_orderkey % 4)"
@@ -303,11 +325,10 @@ FROM (SELECT c_custkey, unnest([1,2,3,4,5]) AS i FROM customer)""",
     "act_zone_integrity": """
 SELECT c_custkey AS doc_id, 5::BIGINT AS zones_count, 1.0::DOUBLE AS length_ratio, true AS ok FROM customer""",
     "act_sentences": f"""
-WITH {_SENTENCES}
-SELECT doc_id, 's' || lpad(global_index::VARCHAR, 5, '0') AS sentence_id, global_index,
-  zone_index AS zone_sentence_index, text, coalesce(d, '') AS dates,
-  CASE WHEN kind = 'W' THEN '2019 года' ELSE '' END AS weak_dates, kind IN ('D','W') AS has_date
-FROM reasoning""",
+WITH {ACT_SENTENCES}
+SELECT doc_id, 's' || lpad(g::VARCHAR, 5, '0') AS sentence_id, zone_type, g AS global_index, zi AS zone_sentence_index, text, dates,
+  weak AS weak_dates, dated AS has_date
+FROM sents""",
     "act_sentence_stats": f"""
 WITH {_SENTENCES},
 allz AS (
@@ -327,9 +348,8 @@ SELECT c_custkey, ['z001','z002','z003'][i], ['header','procedural_history','par
   [1,2,1][i], [1,2,4][i]
 FROM (SELECT c_custkey, unnest([1,2,3]) AS i FROM customer)""",
     "act_first_dated_sentences": f"""
-WITH {_SENTENCES}
-SELECT doc_id, 's' || lpad(global_index::VARCHAR, 5, '0') AS sentence_id, text
-FROM reasoning WHERE kind IN ('D','W') ORDER BY doc_id, global_index LIMIT 100""",
+WITH {ACT_SENTENCES}
+SELECT doc_id, 's' || lpad(g::VARCHAR, 5, '0') AS sentence_id, text FROM sents WHERE dated ORDER BY doc_id, g LIMIT 100""",
     "act_citations": f"""
 WITH {_SENTENCES}
 SELECT doc_id, 's' || lpad(global_index::VARCHAR, 5, '0') AS sentence_id, 'code_articles' AS category,
@@ -340,7 +360,8 @@ WITH {_SENTENCES}
 SELECT 'code_articles' AS category, count(*) AS hits, count(*) AS sentences FROM reasoning WHERE kind = 'C'""",
     "act_citation_pivot": f"""
 WITH {_SENTENCES}
-SELECT doc_id, count(*) AS code_articles, 0::BIGINT AS federal_laws FROM reasoning WHERE kind = 'C' GROUP BY 1""",
+SELECT doc_id, {", ".join(f"{'count(*)' if c == 'code_articles' else '0::BIGINT'} AS {c}" for c in CITED)}
+FROM reasoning WHERE kind = 'C' GROUP BY 1""",
     "act_citation_report": f"""
 WITH {_SENTENCES}
 SELECT doc_id, count(*) + 3 AS scanned_sentences_count, 1::BIGINT AS skipped_sentences_count,

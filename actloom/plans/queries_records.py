@@ -249,44 +249,6 @@ def refinement_outcomes(spark, sf_dir):
     return AU.apply_refinements(won, r).select("doc_id", "path", "outcome", "reason")
 
 
-# ------------------------------------------------------------------- refill
-
-
-def _refill(spark, sf_dir):
-    docs = cut_lineage(segmented(CO.act_pages(spark, sf_dir)), "acts")
-    merged = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("doc_id"), F.lit("claimAndDealCard").alias("card"), F.array(F.lit("s00009")).alias("source_sentence_ids")
-    )
-    c = table(spark, sf_dir, "customer")
-    tasks = RE.tasks_from_report(
-        c.select(F.col("c_custkey").alias("doc_id"), F.posexplode(F.array(F.lit("annotation.claim.claim_type"), F.lit("proof.performance_fact_proven"), F.lit("unlisted.field"))).alias("seq", "path"), F.lit("missing").alias("reason"))
-    )
-    rows = [("claim.claim_type", 0, ["claimAndDealCard"], ["court_reasoning"], ["довод", "платеж"], 2),
-            ("proof.performance_fact_proven", 1, [], ["court_reasoning"], ["подтвержден"], 2)]
-    profiles = spark.createDataFrame(rows, "path string, seq int, cards array<string>, zones array<string>, keywords array<string>, max_windows int")
-    return docs, RE.refill_contexts(docs, merged, tasks, profiles, budget=400)
-
-
-def keyword_context(spark, sf_dir):
-    """Context fragments of three tasks per act, near the card anchor first."""
-    rows = RE.context_rows(_refill(spark, sf_dir)[1])
-    return rows.select(
-        "doc_id", "path", "skipped", F.col("seq").cast("bigint").alias("seq"), "matched_keyword", "search_stage",
-        F.array_join("sentence_ids", ",").alias("sentence_ids"), "source",
-    )
-
-
-def context_requests(spark, sf_dir):
-    """Refill requests routed to their extractors."""
-    docs, contexts = _refill(spark, sf_dir)
-    headers = HE.case_header(docs)
-    entities = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("name"), F.array(F.lit("кредитор")).alias("roles"), F.lit(0).alias("first_seen")
-    )
-    out = RE.refinement_requests(RE.route_contexts(contexts), headers, entities)
-    return out.select("doc_id", "extraction_type", F.array_join("target_paths", ",").alias("paths"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
@@ -294,7 +256,7 @@ QUERIES = {
         merge_stats, absent_cards, merged_cards_text, extraction_requests, feature_rows, feature_winner,
         feature_rejected, feature_conflicts, derived_category, rule_violations, missing_required, audit_status,
         manual_review, evidence_warnings, similarity_view, explanation_view, quality_summary, nested_annotation,
-        refinement_outcomes, keyword_context, context_requests,
+        refinement_outcomes,
     )
 }
 

@@ -134,7 +134,10 @@ def test_anchor_spans_against_brute_force(spark):
 
 
 def test_no_python_in_plan(spark):
+    """The segmentation itself: one exchange, no Python; a stage is read back from its table."""
     pages = spark.createDataFrame([("d1", 1, P1, None)], "doc_id string, page int, text string, tables array<string>")
-    plan = annotation_stage(pages).docs._jdf.queryExecution().executedPlan().toString()
+    plan = segmented(pages)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow", plan)
     assert plan.count("Exchange") == 1
+    stage = annotation_stage(pages).docs._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in stage and not re.search("Python|Arrow|Exchange", stage)
