@@ -1,8 +1,11 @@
 """Training-data pipeline over `documents`: quality rules, near duplicates, benchmark passages, personal data,
 tokens. Each stage is written as Parquet in the shared folder and read again by the next.
 
-A stage works on all that its predecessor kept. Nulls, empty texts, repeated rows and empty tables follow the
-operators' definitions; extra columns of documents are dropped at the first stage.
+A stage works on all that its predecessor kept, and judges every row by itself: rows of one doc_id, or of none,
+with different texts are different documents. Rows go through the operators under a 64-bit hash of doc_id and text
+(among 10**11 documents a row shares it with another by a chance of 5e-9; such two would be judged as one). Rows
+that repeat doc_id and text are judged alike and become one row at the near duplicates. Empty texts and empty
+tables follow the operators' definitions; extra columns of documents are dropped at the first stage.
 """
 
 from __future__ import annotations
@@ -18,28 +21,47 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SIMILARITY = 80
 
 
-def keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows whose doc_id (nulls included) is among kept's."""
-    ids = kept.select(F.col("doc_id").alias("k")).distinct()
-    return docs.join(ids, docs.doc_id.eqNullSafe(ids.k), "left_semi").select(*COLUMNS)
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with row, the hash of doc_id and text."""
+    return docs.select(*COLUMNS, F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"))
+
+
+def as_documents(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("row").alias("doc_id"), "text")
+
+
+def keep(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows whose hash is among kept's doc_id."""
+    return rows.join(kept.select(F.col("doc_id").alias("row")).distinct(), "row", "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the risk-controlled cutoffs. Rows of one doc_id pass together."""
-    return keep(docs, quality_rules.judge(docs, labels(spark, sf_dir)).filter("kept"))
+    """Documents that pass the base rule and the risk-controlled cutoffs."""
+    rows = keyed(docs)
+    marks = rows.select("doc_id", "row").join(labels(spark, sf_dir).select("doc_id", "quality"), "doc_id")
+    marks = marks.select(F.col("row").alias("doc_id"), "quality").distinct()
+    return keep(rows, quality_rules.judge(as_documents(rows), marks).filter("kept")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of least doc_id, one row of it."""
-    kept = keep(docs, near_duplicates.link(docs, SIMILARITY).filter("kept"))
-    return kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.filter(F.col("doc_id").isNull()))
+    """One document of each group of near duplicates: the one of least doc_id (nulls last) and text hash. Of rows
+    that repeat it, the one of least lang, source and n_chars."""
+    rows = keyed(docs)
+    linked = near_duplicates.link(as_documents(rows), SIMILARITY).select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = rows.select("doc_id", "row").join(linked.distinct(), "row").groupBy("component_id").agg(F.min(order).alias("o"))
+    kept = keep(rows, first.select(F.col("o.row").alias("doc_id")))
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    one = kept.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.min(F.struct(*rest)).alias("rest"))
+    return one.select("doc_id", "text", "rest.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window."""
+    rows = keyed(docs)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontamination.summarise(decontamination.find(docs, items))
-    return keep(docs, found.filter("NOT contaminated"))
+    found = decontamination.summarise(decontamination.find(as_documents(rows), items))
+    return keep(rows, found.filter("NOT contaminated")).select(*COLUMNS)
 
 
 def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
