@@ -218,6 +218,35 @@ def tile_links(members: DataFrame, reach: int, percent: int) -> DataFrame:
     return members.groupBy("key", "tile").applyInArrow(links, "a long, b long")
 
 
+def tiles(rest: DataFrame, tile: int) -> DataFrame:
+    """key, number, tile, id, root, left, right: the members of buckets with several components, dealt into tiles.
+
+    Pairs inside a bucket's largest component need no look. So only the members outside it are cut into blocks
+    that meet each other and the blocks of the largest component; a bucket in which few members are outside
+    makes about one row for each of its members.
+    """
+    sizes = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    buckets = sizes.groupBy("key").agg(
+        F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots")
+    ).filter("roots > 1")
+    blocks = lambda n: F.ceil(n / tile).cast("int")
+    counted = buckets.select(
+        "key", F.col("top.root").alias("top"), blocks(F.col("n") - F.col("top.n")).alias("out"), blocks(F.col("top.n")).alias("big")
+    )
+    rows = rest.join(counted, "key").withColumn("outside", F.col("root") != F.col("top"))
+    block = F.pmod(F.xxhash64("id"), F.when(F.col("outside"), F.col("out")).otherwise(F.col("big"))).cast("int")
+    numbers = lambda n: F.sequence(F.lit(0), n - 1)
+    place = lambda i, j, left, right: F.struct(
+        (i * (F.col("out") + F.col("big")) + j).alias("tile"), left.alias("left"), right.alias("right")
+    )
+    yes, no, b = F.lit(True), F.lit(False), F.col("block")
+    among = F.transform(numbers(F.col("out")), lambda j: place(F.least(b, j), F.greatest(b, j), b <= j, b >= j))
+    across = F.transform(numbers(F.col("big")), lambda k: place(b, F.col("out") + k, yes, no))
+    met = F.transform(numbers(F.col("out")), lambda i: place(i, F.col("out") + b, no, yes))
+    placed = F.when(F.col("outside"), F.concat(among, across)).otherwise(met)
+    return rows.withColumn("block", block).select("key", "number", "id", "root", F.inline(placed))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
@@ -325,17 +354,7 @@ def link(df: DataFrame, percent: int = 85, width: int = WIDTH, tile: int = TILE)
     roots = components(sure, "roots")
 
     rest = members.filter("size > 2").join(roots, "id", "left").withColumn("root", F.coalesce("root", F.xxhash64("id")))
-    open_keys = rest.groupBy("key").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n_open")
-    ).filter("low <> high").select("key", "n_open")
-    blocks = F.ceil(F.col("n_open") / tile).cast("int")
-    tiled = rest.join(open_keys, "key").withColumn("blocks", blocks).withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    ).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "number", "id", "root",
-        (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("tile"),
-        (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right"),
-    ).join(sets, "id")
+    tiled = tiles(rest, tile).join(sets, "id")
     more = stage_table(tile_links(tiled, reach, percent), "more-links")
     if not more.isEmpty():
         roots = components(sure.unionByName(more), "roots")

@@ -352,3 +352,26 @@ def test_places_of_heavy_pairs_do_not_move(spark, monkeypatch):
 def test_unclosed_silent_tags_do_not_cut_the_page(before):
     got = [b.text for b in html_text.leaf_blocks(before + "<article><p>one</p>two</article><svg>no</svg>three")]
     assert got[-3:] == ["one", "two", "three"] and set(got[:-3]) <= {"was open"}
+
+
+def test_pipeline_judges_rows_by_id_and_text(spark, tmp_path):
+    """Rows of one id, or of none, with different texts don't stand for each other; empty tables and extra columns."""
+    import corpus_pipeline
+
+    bad, item = "### " * 60, ITEMS[0][1]
+    data = [(None, prose(1, 90)), (None, prose(2, 60) + " " + item + " " + prose(3, 60)), (5, prose(4, 90)), (5, prose(5, 70) + " " + item),
+            (6, prose(6, 90)), (6, bad), (7, prose(7, 90)), (8, prose(7, 90)), (None, prose(7, 90)), (7, prose(7, 90)), (9, None), (None, None)]
+    types = "doc_id long, text string, lang string, source string, n_chars long, row long, kept string, component_id string"
+    spark.createDataFrame([(i, t, "en", "s", 1, 1, "k", "c") for i, t in data], types).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, 1, 0), (6, 0, 0)], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(ITEMS, "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = corpus_pipeline.documents(spark, str(tmp_path))
+    for stage in (corpus_pipeline.quality, corpus_pipeline.near_dedup, corpus_pipeline.decontaminate):
+        docs = corpus_pipeline.stage_table(stage(spark, docs, str(tmp_path)), "rows")
+        assert tuple(docs.columns) == corpus_pipeline.COLUMNS
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.text) for r in docs.collect())
+    assert got == sorted([(-1, prose(1, 90)), (5, prose(4, 90)), (6, prose(6, 90)), (7, prose(7, 90))])
+    nothing = corpus_pipeline.documents(spark, str(tmp_path)).filter("false")
+    for _, stage in corpus_pipeline.STAGES:
+        nothing = stage(spark, nothing, str(tmp_path))
+        assert nothing.count() == 0
