@@ -282,3 +282,44 @@ def act_refinements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.lit("annotation.claim.claim_type")).alias("target_paths"), answer.alias("answer_text"),
         F.when(k % 7 == 0, "timeout").alias("error"),
     )
+
+
+# ------------------------------------------------------------- files and replies
+
+def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON files, one of each customer's orders: arrays, wrapped arrays and broken ones, with some bad records."""
+    k, o = F.col("o_custkey"), F.col("o_orderkey")
+    record = F.to_json(F.struct(
+        F.concat(F.lit("s"), o.cast("string")).alias("sentence_id"), F.dayofmonth("o_orderdate").alias("global_index"),
+        F.col("o_orderpriority").alias("text"), F.array(F.date_format("o_orderdate", "dd.MM.yyyy")).alias("dates"),
+    ))
+    item = F.when(o % 13 == 0, "17").when(o % 13 == 1, '{"sentence_id":"s","global_index":"first"}').otherwise(record)
+    rows = table(spark, sf_dir, "orders").groupBy(k.alias("k")).agg(F.array_sort(F.collect_list(F.struct(o.alias("o"), item.alias("r")))).alias("x"))
+    array = F.concat(F.lit("["), F.array_join(F.transform("x", lambda x: x["r"]), ","), F.lit("]"))
+    value = (
+        F.when(F.col("k") % 11 == 0, F.concat(F.lit("{"), array)).when(F.col("k") % 11 == 1, F.lit('{"other":[]}'))
+        .when(F.col("k") % 11 == 2, F.concat(F.lit('{"sentences":'), array, F.lit("}"))).otherwise(array)
+    )
+    return rows.select(F.concat(F.lit("acts/c"), F.col("k").cast("string"), F.lit(".json")).alias("file"), value.alias("value"))
+
+
+def window_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each order."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("doc_id"), F.concat(F.lit("w"), F.col("o_orderkey").cast("string")).alias("window_id"),
+        F.col("o_orderkey").alias("annotation_seq"),
+    )
+
+
+def window_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies to the requests, one attempt for each line item: some fail, some come empty, orders of key 0 of 7
+    get none, and one in ten is to a window that nobody asked for."""
+    o, n = F.col("l_orderkey"), F.col("l_linenumber")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("doc_id"))
+    failed = (o + n) % 3 == 0
+    return table(spark, sf_dir, "lineitem").filter(o % 7 != 0).join(orders, "l_orderkey").select(
+        "doc_id", F.concat(F.when(o % 10 == 9, "x").otherwise("w"), o.cast("string")).alias("window_id"),
+        n.cast("bigint").alias("attempt"),
+        F.when(failed, F.lit(None).cast("string")).when((o + n) % 3 == 1, "").otherwise(F.concat(F.lit("reply "), n.cast("string"))).alias("annotation_text"),
+        F.when(failed, F.concat(F.lit("timeout "), n.cast("string"))).alias("error"),
+    )

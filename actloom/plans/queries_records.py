@@ -81,10 +81,9 @@ def top_per_customer(spark, sf_dir):
 
 
 def _parsed(spark, sf_dir):
-    return stage(
-        CO.replies(spark, sf_dir),
-        parsed=CA.parse_reply(F.col("annotation_text"), F.col("window_id")),
-    )
+    """Replies parsed once: fragments and entities both start from the stage table."""
+    replies = stage(CO.replies(spark, sf_dir), parsed=CA.parse_reply(F.col("annotation_text"), F.col("window_id")))
+    return cut_lineage(replies.drop("annotation_text"), "replies")
 
 
 def card_fragments(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from actloom.functions import cleaning as C
@@ -11,6 +11,7 @@ from actloom.functions import similarity as SI
 from actloom.functions import text as T
 from actloom.functions.arrays import let
 from actloom.functions.sentences import sentence_edge, sentence_spans, sentence_texts, sentences_before_capitals
+from actloom.lexicon import cards as LC
 from actloom.lexicon import generic as G
 from actloom.lexicon import ru_acts as RU
 from actloom.operators import cards as CA
@@ -181,11 +182,29 @@ def exact_dup_groups(spark, sf_dir):
 
 
 def containment_dups(spark, sf_dir):
-    """Documents against their own head: the native legs of the duplicate test."""
+    """Different documents with the same beginning, each against the next shorter one: the native legs of the
+    duplicate test. Copies are one text, so a crowd of them doesn't meet in a block."""
     d = _docs(spark, sf_dir).select("doc_id", T.dedup_key(F.col("text")).alias("a"))
-    d = d.withColumn("b", F.left("a", (F.length("a") * F.lit(0.5) + F.col("doc_id") % 50 * F.length("a") * 0.01).cast("int")))
-    return d.select("doc_id", SI.contains_most(F.col("a"), F.col("b")).alias("contained"),
-                    SI.ratio_possible(F.col("a"), F.col("b")).alias("ratio_possible"))
+    d = d.groupBy(F.md5(F.col("a").cast("binary")).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.first("a").alias("a"))
+    order = Window.partitionBy(F.md5(F.left("a", F.lit(40)).cast("binary"))).orderBy(F.length("a"), "doc_id")
+    d = d.select("doc_id", "a", F.lag("doc_id").over(order).alias("shorter"), F.lag("a").over(order).alias("b"))
+    return d.filter("shorter IS NOT NULL").select(
+        "doc_id", "shorter", SI.contains_most(F.col("a"), F.col("b")).alias("contained"),
+        SI.ratio_possible(F.col("a"), F.col("b")).alias("ratio_possible"),
+    )
+
+
+def near_dup_names(spark, sf_dir):
+    """Ratio leg on pairs of known ratio: part names against themselves with a strange ending of 0 to 4 letters."""
+    k, n = (F.col("p_partkey") % 5).cast("int"), F.length("p_name")
+    p = table(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_name").alias("a"), F.concat(F.left("p_name", n - k), F.repeat(F.lit("§"), k)).alias("b")
+    )
+    ratio = SI.sequence_ratio("a", "b")
+    return p.withColumn("ratio", ratio).select(
+        "p_partkey", F.round("ratio", 6).alias("ratio"), (F.col("ratio") >= LC.DUPLICATE_RATIO).alias("same"),
+        SI.ratio_possible(F.col("a"), F.concat("a", F.repeat(F.lit("§"), k * 2))).alias("longer_possible"),
+    )
 
 
 def near_dup_turns(spark, sf_dir):
@@ -294,7 +313,7 @@ QUERIES = {
         clean_basic_chars, normalized_variants, match_keys, clean_links, clean_requisites, running_headers,
         table_like_lines, paragraph_islands, table_blocks, sentences, sentence_offsets, sentence_stats_rollup,
         capital_sentences, strong_dates, weak_years, date_sort_keys, pattern_hits, exact_dup_groups,
-        containment_dups, near_dup_turns, best_fragment, role_scores, header_first_match, file_keys,
+        containment_dups, near_dup_names, near_dup_turns, best_fragment, role_scores, header_first_match, file_keys,
         priority_candidate, char_report, page_offsets, span_pages, forward_fill_roles, zone_transitions,
     )
 }
@@ -419,9 +438,16 @@ FROM h GROUP BY 1, 2, 3""",
     "exact_dup_groups": f"""
 SELECT min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY {_DEDUP} HAVING count(*) > 1""",
     "containment_dups": f"""
-WITH d AS (SELECT doc_id, {_DEDUP} AS a FROM documents),
-e AS (SELECT doc_id, length(a) AS la, floor(length(a) * 0.5::DOUBLE + doc_id % 50 * length(a) * 0.01::DOUBLE)::BIGINT AS lb FROM d)
-SELECT doc_id, lb > 80 AND lb / la >= 0.72 AS contained, 2 * lb >= 0.92 * (la + lb) AS ratio_possible FROM e""",
+WITH d AS (SELECT min(doc_id) AS doc_id, a FROM (SELECT doc_id, {_DEDUP} AS a FROM documents) GROUP BY a),
+e AS (SELECT doc_id, a, lag(doc_id) OVER w AS shorter, lag(a) OVER w AS b FROM d WINDOW w AS (PARTITION BY left(a, 40) ORDER BY length(a), doc_id))
+SELECT doc_id, shorter, length(b) > 80 AND length(b) / length(a) >= 0.72 AND contains(a, b) AS contained,
+  2 * length(b) >= 0.92::DOUBLE * (length(a) + length(b)) AS ratio_possible
+FROM e WHERE shorter IS NOT NULL""",
+    "near_dup_names": """
+SELECT p_partkey, round((length(p_name) - p_partkey % 5) / length(p_name), 6) AS ratio,
+  (length(p_name) - p_partkey % 5) / length(p_name) >= 0.92::DOUBLE AS same,
+  2 * length(p_name) >= 0.92::DOUBLE * (2 * length(p_name) + 2 * (p_partkey % 5)) AS longer_possible
+FROM part""",
     "best_fragment": f"""
 WITH s AS (SELECT source, doc_id, (floor(least(length(n), 1200) / 20)
   + 3 * len(regexp_extract_all(n, '\\d{{1,2}}[./-]\\d{{1,2}}[./-]\\d{{2,4}}'))

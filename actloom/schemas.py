@@ -31,13 +31,14 @@ CONTEXT_ITEM = (
     f"path STRING, reason STRING, source_audit_block STRING, fragments ARRAY<{FRAGMENT}>, "
     "context_chars INT, skipped BOOLEAN"
 )
+MERGED_FRAGMENT = (
+    "text STRING, source_window_ids ARRAY<STRING>, source_zone_ids ARRAY<STRING>, source_zone_types ARRAY<STRING>, "
+    "source_dates ARRAY<STRING>, source_sentence_ids ARRAY<STRING>, source_date_sentence_ids ARRAY<STRING>"
+)
+REFINEMENT_ITEM = "extraction_type STRING, target_paths ARRAY<STRING>, answer_text STRING, error STRING"
 EXTRACTION_RESPONSES = (
     "doc_id STRING, extractor_seq BIGINT, extractor STRING, answer_text STRING, error STRING, skipped BOOLEAN"
 )
-REFINEMENT_RESPONSES = (
-    "doc_id STRING, extractor_seq BIGINT, extraction_type STRING, target_paths ARRAY<STRING>, "
-    "answer_text STRING, error STRING"
-)
 
 
 def parse(ddl: str) -> StructType:

@@ -1,11 +1,11 @@
 """Scans, card merge, audit and refill on small fixtures."""
 
 import random
-from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
 from actloom.functions import answers as AN
+from actloom.functions.similarity import same_text
 from actloom.operators import audit as AU
 from actloom.operators import cards as CA
 from actloom.operators import refill as RE
@@ -31,35 +31,80 @@ def test_chunked_scan_with_a_hot_key(spark):
         )
 
 
-def test_card_merge_against_brute_force(spark):
-    base = ["Договор займа подписан сторонами и исполнен переводами", "Кризис наступил раньше спорной сделки",
-            "Суд признал долг реальным по накладным"]
-    rng = random.Random(2)
-    rows = []
-    for i in range(120):
-        text = rng.choice(base)
-        if rng.random() < 0.6:
-            text += rng.choice([".", " 10.04.2017", " на 5 руб.", "!!", " а"])
-        rows.append(("d", "c", i, text))
-    df = spark.createDataFrame(rows, "doc_id string, card string, i int, text string").select(
+def _fragments(spark, rows):
+    return spark.createDataFrame(rows, "doc_id string, card string, i int, text string").select(
         "doc_id", "card", F.struct(F.col("i").alias("annotation_seq"), F.lit(0).alias("block_seq"), F.lit(0).alias("part_seq")).alias("seq"),
         "text", F.concat(F.lit("w"), F.col("i").cast("string")).alias("window_id"), F.lit("z").alias("zone_id"), F.lit("t").alias("zone_type"),
         *[F.array(F.col("i").cast("string")).alias(c) for c in ("dates", "sentence_ids", "date_sentence_ids")],
     )
-    scored = {r.i: (r.k, r.s) for r in df.select(F.col("seq.annotation_seq").alias("i"), CA.T.dedup_key(F.col("text")).alias("k"),
-                                                 CA.fragment_score(F.col("text")).alias("s")).collect()}
-    reps = []
-    for _d, _c, i, text in rows:
-        key, score = scored[i]
-        hit = next((r for r in reps if r["key"] == key or SequenceMatcher(None, r["key"], key).ratio() >= 0.92), None)
+
+
+def _merged_by_hand(df, rows):
+    """First-match merge in order, every fragment against every representative."""
+    scored = {(r.doc_id, r.card, r.i): (r.k, r.s, r.t) for r in df.select(
+        "doc_id", "card", F.col("seq.annotation_seq").alias("i"), CA.T.dedup_key(F.col("text")).alias("k"),
+        CA.fragment_score(F.col("text")).alias("s"), CA.T.card_text(F.col("text")).alias("t")).collect()}
+    out = {}
+    for doc, card, i, _ in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        key, score, text = scored[doc, card, i]
+        reps = out.setdefault((doc, card), [])
+        hit = next((r for r in reps if same_text(r["key"], key, 0.92)), None)
         if hit is None:
             reps.append({"key": key, "score": score, "text": text, "w": [f"w{i}"]})
         else:
             hit["w"].append(f"w{i}")
             if score > hit["score"]:
                 hit.update(key=key, score=score, text=text)
-    got = CA.merge_cards(df).orderBy("seq").collect()
-    assert [(r.text, list(r.source_window_ids)) for r in got] == [(r["text"], r["w"]) for r in reps]
+    return {g: [(r["text"], r["w"]) for r in reps] for g, reps in out.items()}
+
+
+def _got(merged):
+    out = {}
+    for r in merged.orderBy("doc_id", "card", "seq").collect():
+        out.setdefault((r.doc_id, r.card), []).append((r.text, list(r.source_window_ids)))
+    return out
+
+
+def test_card_merge_against_brute_force(spark):
+    base = ["Договор займа подписан сторонами и исполнен переводами", "Кризис наступил раньше спорной сделки",
+            "Суд признал долг реальным по накладным", "Коротко", "Суд первой инстанции установил, что " * 4 + "долг есть"]
+    rng = random.Random(2)
+    rows = []
+    for i in range(240):
+        text = rng.choice(base)
+        if rng.random() < 0.6:
+            text += rng.choice([".", " 10.04.2017", " на 5 руб.", "!!", " а", " " + "и так далее " * rng.randint(1, 5)])
+        rows.append((rng.choice("de"), rng.choice("cc2"), i, text))
+    df = _fragments(spark, rows)
+    assert _got(CA.merge_cards(df)) == _merged_by_hand(df, rows)
+
+
+def test_ratio_containment_and_swap_decide(spark):
+    long_ = "Кредитор предоставил должнику заем на рыночных условиях, что подтверждено выписками банка и актами сверки"
+    rows = [
+        (0, "Суд признал долг реальным по накладным и актам"), (1, "Суд признал долг реальным по накладным и актам!!"),  # ratio
+        (2, long_), (3, long_ + ", а также платежными поручениями сторон"),                                    # containment, then the longer text
+        (4, long_ + ", а также платежными поручениями сторон спора"),                                          # like the swapped text only
+        (5, "Иное"), (6, "Иное"), (7, ""), (8, "Нечто совсем другое по длине и смыслу"),
+    ]
+    rows = [("d", "c", i, t) for i, t in rows]
+    df = _fragments(spark, rows)
+    got = _got(CA.merge_cards(df))
+    assert got == _merged_by_hand(df, rows)
+    assert [w for _, w in got["d", "c"]] == [["w0", "w1"], ["w2", "w3", "w4"], ["w5", "w6"], ["w7"], ["w8"]]
+
+
+def test_a_hot_card_splits(spark):
+    """A card with nearly all fragments, of many lengths: its islands go to several tasks, copies to none."""
+    rng = random.Random(4)
+    words = ["суд", "долг", "заем", "акт", "реестр", "спор"]
+    stems = [" ".join(rng.choice(words) for _ in range(2 ** k)) for k in range(8)]
+    rows = [("hot", "c", i, rng.choice(stems) + rng.choice(["", "", " да"])) for i in range(1500)] + [("cold", "c", 9000, "суд")]
+    df = _fragments(spark, rows)
+    placed = CA.assign_representatives(df)
+    islands = placed.filter("doc_id = 'hot'").groupBy("island").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(islands) >= 5 and max(r.n for r in islands) < 600
+    assert _got(CA.merge_cards(df)) == _merged_by_hand(df, rows)
 
 
 def test_reply_parsing(spark):
