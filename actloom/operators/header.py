@@ -258,6 +258,33 @@ def dispute_context(
     )
 
 
+def candidate_rows(parts: DataFrame) -> DataFrame:
+    """Every candidate for the subject of a dispute, one row each: ``doc_id, source, place, text, allowed, score``.
+
+    ``parts`` holds the zone texts ``h, ph, pp, cr``; sources come in their order of priority, places in the order of
+    the patterns.
+    """
+    found = {
+        "header": header_candidates(F.col("h")), "procedural_history": text_candidates(F.col("ph")),
+        "party_position": text_candidates(T.strip(T.before(T.header_text(F.col("pp")), H.PARTY_CUT))),
+        "court_reasoning_head": text_candidates(F.col("cr")),
+    }
+
+    def listed(rank: int, name: str) -> Column:
+        entry = lambda t, i: F.struct(F.lit(name).alias("source"), F.lit(rank).alias("rank"), i.alias("place"), t.alias("text"))
+        return F.transform(found[name], entry)
+
+    every = F.concat(*[listed(rank, name) for rank, name in enumerate(H.SOURCE_PRIORITY)])
+    rows = parts.select("doc_id", F.inline(every))
+    return rows.withColumns({"allowed": ~is_forbidden(F.col("text")), "score": candidate_score(F.col("text"), F.col("source"))})
+
+
+def best_candidates(rows: DataFrame) -> DataFrame:
+    """The allowed candidate of the highest score; of equal ones the first by source and place."""
+    order = F.struct((-F.col("score")).alias("s"), "rank", "place")
+    return rows.filter("allowed").groupBy("doc_id").agg(F.min_by(F.struct("source", "text", "score"), order).alias("b")).select("doc_id", "b.*")
+
+
 # ----------------------------------------------------------------- documents
 
 def zone_text(zones: Column, zone_type: str) -> Column:
@@ -274,17 +301,18 @@ def quarantine(docs: DataFrame) -> DataFrame:
     return docs.filter(~has_header(docs)).select("doc_id", F.lit("header_zone_missing").alias("reason"))
 
 
-def case_header(docs: DataFrame) -> DataFrame:
-    """One row of requisites per document with a header zone, from whole zones; map-only."""
-    parts = stage(
+def zone_parts(docs: DataFrame) -> DataFrame:
+    """``doc_id, zones`` and the texts of the four zones that requisites are read from."""
+    kinds = (("header", "h"), ("procedural_history", "ph"), ("party_position", "pp"), ("court_reasoning", "cr"))
+    return stage(
         docs.filter(has_header(docs)).select("doc_id", "zones"),
-        **{
-            name: T.header_text(zone_text(F.col("zones"), kind))
-            for kind, name in (
-                ("header", "h"), ("procedural_history", "ph"), ("party_position", "pp"), ("court_reasoning", "cr"),
-            )
-        },
+        **{name: T.header_text(zone_text(F.col("zones"), kind)) for kind, name in kinds},
     )
+
+
+def case_header(docs: DataFrame) -> DataFrame:
+    """One row of requisites per document with a header zone, from whole zones; map-only."""
+    parts = zone_parts(docs)
     h = F.col("h")
     return parts.select(
         "doc_id",

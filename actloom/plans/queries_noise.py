@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from actloom.functions import cleaning as C
 from actloom.functions import text as T
+from actloom.operators import header as HE
 from actloom.operators import segment as SE
 from actloom.operators import tagging as TA
 from actloom.operators import windows as WI
 from actloom.plans.corpus import table
+from actloom.session import cut_lineage
 
 Cases = tuple[tuple[str, str], ...]
 
@@ -114,6 +116,29 @@ CITATIONS = (
     ("Долг {k} признан.", None, None, None),
 )
 
+# A phrase for each subject rule, and one without a subject. To ask for bankruptcy alone (14) is no dispute.
+SUBJECTS = (
+    "во включении в реестр требований кредиторов", "об исключении из списка реестр кредиторов", "о включении требования", "об установлении требования",
+    "о процессуальном правопреемстве", "о замене кредитора", "с просьбой заменить кредитора", "замена кредитора", "о недействительности договора",
+    "об оспаривании", "об очередности требования", "о субординации", "о взыскании задолженности", "о признании должника несостоятельным",
+    "о признании банкротом и включении", "о прекращении производства по делу о банкротстве", "о погашении требования кредитора", "о переносе заседания",
+)
+# Zone texts (header, history, party's position) with the subject that is read from them, its source and its score:
+# the source's weight, the words' points, and 4 where two words read as a name with initials.
+DISPUTES = (
+    ("по заявлению банка {k} о включении требования в реестр требований кредиторов в рамках дела о банкротстве", "", "",
+     "по заявлению банка {k} о включении требования в реестр требований кредиторов", "header", 32),
+    ("по спору о недействительности сделки {k} УСТАНОВИЛ", "", "", "по спору о недействительности сделки {k}", "header", 31),
+    ("о включении требования {k} в реестр требований кредиторов", "", "", "о включении требования {k} в реестр требований кредиторов", "header", 18),
+    ("по иску банка {k}, обратившегося в суд, о взыскании задолженности", "", "", "по иску банка {k}, обратившегося в суд, о взыскании задолженности", "header", 22),
+    ("", "Банк {k} обратился в суд с заявлением о процессуальном правопреемстве.", "", "Банк {k} обратился в суд с заявлением о процессуальном правопреемстве", "procedural_history", 22),
+    ("", "В арбитражный суд поступило заявление банка {k} об оспаривании сделки.", "", "В арбитражный суд поступило заявление банка {k} об оспаривании сделки", "procedural_history", 14),
+    ("", "Банк {k} обратился с ходатайством о замене кредитора.", "", "Банк {k} обратился с ходатайством о замене кредитора", "procedural_history", 14),
+    ("", "Банк {k} просил включить требование в реестр требований кредиторов.", "", "Банк {k} просил включить требование в реестр требований кредиторов", "procedural_history", 14),
+    ("", "", "Банк {k} обратился с заявлением о субординации. В кассационной жалобе банк возражает.", "Банк {k} обратился с заявлением о субординации", "party_position", 18),
+    ("о банкротстве {k}", "Суд {k} открыл заседание.", "", None, None, None),
+)
+
 
 def _planted(spark, sf_dir, cases, *more: str):
     """Each customer's case: its number and its text, with the key put in."""
@@ -195,8 +220,28 @@ def citation_forms(spark, sf_dir):
     return rows.select("c_custkey", "h.category", "h.value", TA.short_reference(F.col("h.category"), F.col("h.value")).alias("short_value"))
 
 
+def dispute_subjects(spark, sf_dir):
+    """Which texts name a subject that a dispute can have: a phrase for every rule."""
+    cases = tuple((f"Банк {{k}} обратился с заявлением {s}", "") for s in SUBJECTS)
+    rows = _planted(spark, sf_dir, cases)
+    return rows.select("c_custkey", HE.has_subject(F.lower("before")).alias("has_subject"), HE.looks_like_application(F.col("before")).alias("application"))
+
+
+def dispute_candidates(spark, sf_dir):
+    """The best candidate by score over all zones, and the one that the header's rules of priority choose."""
+    k = F.col("c_custkey")
+    i = (k % len(DISPUTES)).cast("int")
+    text = lambda part: F.replace(F.get(F.array(*[F.lit(d[part]) for d in DISPUTES]), i), F.lit("{k}"), k.cast("string"))
+    parts = cut_lineage(table(spark, sf_dir, "customer").select(
+        k.alias("doc_id"), text(0).alias("h"), text(1).alias("ph"), text(2).alias("pp"), F.lit("").alias("cr")
+    ), "parts")
+    best = HE.best_candidates(HE.candidate_rows(parts))
+    chosen = parts.select("doc_id", HE.dispute_context(F.col("h"), F.col("ph"), F.col("pp"), F.col("cr")).alias("chosen"))
+    return chosen.join(best, "doc_id", "left").select("doc_id", "chosen", "source", "text", F.col("score").cast("bigint").alias("score"))
+
+
 QUERIES = {name: _cleaned(cases, clean, name) for name, (cases, clean) in _CLEANED.items()}
-QUERIES |= {f.__name__: f for f in (noise_first_page, noise_windows, zone_markers, citation_forms)}
+QUERIES |= {f.__name__: f for f in (noise_first_page, noise_windows, zone_markers, citation_forms, dispute_subjects, dispute_candidates)}
 
 
 def _forms(part: int) -> str:
@@ -205,6 +250,9 @@ def _forms(part: int) -> str:
 
 _KINDS = f"CASE c_custkey % {len(MARKERS)} " + " ".join(f"WHEN {i} THEN '{m}'" for i, (_, m) in enumerate(MARKERS)) + " END"
 
+_DISPUTE = f"CASE doc_id % {len(DISPUTES)} " + " ".join(f"WHEN {i} THEN {_as_sql(d[3])}" for i, d in enumerate(DISPUTES)) + " END"
+_SOURCE = ", ".join(f"({i}, {_as_sql(d[4])}, {'NULL' if d[5] is None else d[5]})" for i, d in enumerate(DISPUTES))
+
 ORACLES = {name: _expected(cases) for name, (cases, _) in _CLEANED.items()}
 ORACLES |= {
     "noise_first_page": f"""
@@ -214,6 +262,12 @@ FROM ({_expected(FIRST_PAGE)}) a JOIN ({_expected(tuple((x, x) for x, _ in FIRST
 SELECT c_custkey AS doc_id, 'sw00001' AS window_id, 's1' AS sentence_ids, 's1' AS anchors, '* Долг ' || c_custkey || ' есть 01.02.2020.' AS text FROM customer
 UNION ALL
 SELECT c_custkey, 'sw00002', 's5,s6', 's5', '* акт ' || c_custkey || ' от 01.02.2020.' || chr(10) || '- Иное.' FROM customer""",
+    "dispute_subjects": f"""
+SELECT c_custkey, c_custkey % {len(SUBJECTS)} <> {len(SUBJECTS) - 1} AS has_subject, c_custkey % {len(SUBJECTS)} NOT IN (14, {len(SUBJECTS) - 1}) AS application
+FROM customer""",
+    "dispute_candidates": f"""
+SELECT doc_id, {_DISPUTE.replace("c_custkey", "doc_id")} AS chosen, source, {_DISPUTE.replace("c_custkey", "doc_id")} AS text, score::BIGINT AS score
+FROM (SELECT c_custkey AS doc_id FROM customer) JOIN (VALUES {_SOURCE}) AS s(i, source, score) ON i = doc_id % {len(DISPUTES)}""",
     "zone_markers": f"SELECT c_custkey, k = 'p' AS party, k = 's' AS strong, k = 'w' AS weak FROM (SELECT c_custkey, {_KINDS} AS k FROM customer)",
     "citation_forms": f"SELECT c_custkey, {_forms(1)} AS category, {_forms(2)} AS value, {_forms(3)} AS short_value FROM customer",
 }
