@@ -8,7 +8,9 @@ markup and makes no block.
 
 Labelled pages are pages of the table, at most MAX_TRAIN, whose blocks are labelled by their place in the
 page's own tags, and the same pages dressed anew: menus, headers, sidebars, notices, adverts, forms and reader
-comments are put around and inside the article, so every kind of frame has labels whatever the site.
+comments are put around and inside the article, so every kind of frame has labels whatever the site. A page that
+has no article or main tag gives no labels by place; its densest run of blocks is dressed. Some bodies and frames
+have tags that tell nothing, so that the text itself decides there.
 
 Defined cases: null and empty html and pages without main blocks give an empty text; unclosed and stray tags are
 tolerated; repeated rows give equal rows; an empty table gives no rows; other columns are ignored; texts are
@@ -19,11 +21,15 @@ other silent tag without one ends at the next block tag or with its parent, a he
 from __future__ import annotations
 
 import html
+import pickle
 import random
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,17 +55,22 @@ CLOSES = {
 CLOSES |= {t: {"p"} for t in BLOCK if t not in CLOSES and t not in ("body", "html", "button", "label", "summary")}
 #: Ends of the search for an open p.
 WALLS = frozenset("ul ol dl table div section article aside main nav header footer form blockquote td th body html".split())
-TAG = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Attributes of a tag: a quote counts after an equals sign only, and an unclosed one counts as a letter.
+ATTRIBUTES = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+"
+TAG = re.compile(rf"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9-]*+)({ATTRIBUTES})>", re.S)
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[a-z]+")
 #: The next tag that tells whether a silent tag is closed.
 NEXT = {t: re.compile(rf"</{t}\s*>|<{t}(?=[\s/>])" + (r"|<body(?=[\s/>])" if t == "head" else ""), re.I) for t in SILENT}
 CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+OPEN_COMMENT = re.compile("<!--")
 SPANS = re.compile(
     r"<!--.*?(?:-->|$)|<(script|style|textarea|title)(?=[\s/>]).*?(?:</\1\s*>|$)"
-    rf"|<(/?)({'|'.join(sorted(SILENT - RAW))}|body)((?:[\s/](?:[^>\"']|\"[^\"]*\"|'[^']*')*)?)>", re.S | re.I
+    rf"|<(/?)({'|'.join(sorted(SILENT - RAW))}|body)((?:[\s/]{ATTRIBUTES})?)>", re.S | re.I
 )
 BLANKS = re.compile(r"\s+")
+#: Of a deeper path, so many outermost and innermost tags describe a block.
+OUTERMOST, INNERMOST = 16, 48
 
 
 @dataclass
@@ -73,7 +84,7 @@ def silent_ends(page: str) -> dict[int, int]:
     """Ends of the silent elements that are closed, by the ends of their opening tags."""
     out: dict[int, int] = {}
     opened: dict[str, list[int]] = {t: [] for t in SILENT - RAW}
-    for m in SPANS.finditer(page):
+    for m in SPANS.finditer(page, 0, page.rfind(">") + 1):
         tag = (m[3] or "").lower()
         if tag == "body":
             opened["head"].clear()
@@ -90,9 +101,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
     page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
+    opened: Counter[str] = Counter()  # tags in the stack
     parts: list[str] = []
     linked = [0]
-    in_link = 0
     ends: dict[int, int] | None = None
     silent, depth_of_silent = "", 0  # an open silent tag that is never closed
 
@@ -100,13 +111,20 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if parts:
             text = BLANKS.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(text, tuple(stack), min(linked[0], len(text))))
+                deep = len(stack) > OUTERMOST + INNERMOST
+                path = stack[:OUTERMOST] + stack[-INNERMOST:] if deep else stack
+                out.append(Block(text, tuple(path), min(linked[0], len(text))))
             parts.clear()
             linked[0] = 0
 
-    at, size = 0, len(page)
+    def shut(depth: int):
+        opened.subtract(t for t, _ in stack[depth:])
+        del stack[depth:]
+
+    at, size, last = 0, len(page), page.rfind(">")
     while at < size:
-        m = TAG.search(page, at)
+        # Behind the last > there is no tag, only a comment that is never closed.
+        m = TAG.search(page, at) if at <= last else OPEN_COMMENT.search(page, at)
         end = m.start() if m else size
         if end > at:
             piece = page[at:end]
@@ -114,9 +132,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 silent = ""
             if not silent:
                 parts.append(piece)
-                if in_link:
+                if opened["a"]:
                     linked[0] += len(piece)
-        if not m:
+        if not m or at > last:
             break
         at = m.end()
         tag = m[2]
@@ -124,21 +142,19 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         tag = tag.lower()
         if m[1]:
-            if tag == "p" and not any(t == "p" for t, _ in stack):
+            if tag == "p" and not opened["p"]:
                 flush()
                 continue
             if tag in BLOCK:
                 flush()
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if depth >= 0:
-                del stack[depth:]
+            if opened[tag] > 0:
+                depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
+                shut(depth)
                 if depth < depth_of_silent:
                     silent, depth_of_silent = "", 0
-                in_link = sum(t == "a" for t, _ in stack)
             continue
         if silent and (tag not in HEAD if silent == "head" else tag in BLOCK and tag != "option"):
-            del stack[depth_of_silent:]
-            in_link = sum(t == "a" for t, _ in stack)
+            shut(depth_of_silent)
             silent, depth_of_silent = "", 0
         if tag in RAW:
             closing = CLOSE[tag].search(page, at)
@@ -165,21 +181,20 @@ def leaf_blocks(page: str | None) -> list[Block]:
             flush()
             ended = CLOSES.get(tag, ())
             i = len(stack) - 1
-            while i >= 0 and ended:
+            while i >= 0 and any(opened[t] > 0 for t in ended):
                 if stack[i][0] in ended:
-                    del stack[i:]
+                    shut(i)
                     break
                 if stack[i][0] in WALLS:
                     break
                 i -= 1
-            in_link = sum(t == "a" for t, _ in stack)
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
         names = ""
         if m[3]:
             names = " ".join(next(filter(None, g), "") for g in NAMES.findall(m[3])).lower()
         stack.append((tag, names))
-        in_link += tag == "a"
+        opened[tag] += 1
     flush()
     return out
 
@@ -326,6 +341,28 @@ def label_by_place(block: Block) -> int:
     return int(inside)
 
 
+def in_frame(block: Block) -> bool:
+    return any(t in FRAME_TAGS or set(PARTS.findall(n)) & FRAME_WORDS for t, n in block.path)
+
+
+def densest_run(blocks: list[Block]) -> list[str]:
+    """Texts of the run of blocks that has most words beyond what a frame's block has; for pages that mark no main
+    part. A heading in front belongs to it."""
+    best = here = start = 0
+    span = (0, 0)
+    for i, b in enumerate(blocks):
+        worth = -40 if in_frame(b) or 2 * b.linked > len(b.text) else min(len(b.text.split()), 80) - 12
+        if here <= 0:
+            here, start = 0, i
+        here += worth
+        if here > best:
+            best, span = here, (start, i + 1)
+    low, high = span
+    if low and high and blocks[low - 1].path and blocks[low - 1].path[-1][0] in ("h1", "h2") and not in_frame(blocks[low - 1]):
+        low -= 1
+    return [b.text for b in blocks[low:high]]
+
+
 def dress(main: list[str], frame: list[str], rng: random.Random) -> tuple[str, set[int]]:
     """A page around the blocks of an article, and the numbers of its main blocks."""
     esc, parts, number, good = html.escape, [], 0, set()
@@ -352,8 +389,10 @@ def dress(main: list[str], frame: list[str], rng: random.Random) -> tuple[str, s
         parts.append(f"</{tag}>")
 
     def frame_piece():
-        kind = rng.randrange(12)
-        if kind == 0:
+        kind = rng.randrange(14)
+        if kind > 11:  # a menu or a note that only its short texts give away
+            group(strange(), rng.choice(["li", "p", "a", "span", "div"]), rng.randint(1, 4))
+        elif kind == 0:
             group("nav", "li", rng.randint(2, 7))
         elif kind == 1:
             group(rng.choice(["header", 'div class="header"', 'div id="masthead"', 'div class="site-header"']), "p", rng.randint(1, 2))
@@ -389,9 +428,14 @@ def dress(main: list[str], frame: list[str], rng: random.Random) -> tuple[str, s
             parts.append(f"</{inner.split(' ')[0]}>")
         parts.append(f"</{tag}>")
 
+    def strange() -> str:
+        """A tag that tells nothing: no class, or one that isn't known."""
+        name = "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+        return rng.choice(["div", "section", "td", f'div class="{name}"', f'div id="{name}"', f'section class="{name}"'])
+
     for _ in range(rng.randint(1, 4)):
         frame_piece()
-    body = rng.choice(["article", "main", 'div class="content"', 'div class="post"', 'div id="content"', 'article class="post"', "main><article", 'div class="article-body"', 'section class="entry-content"'])
+    body = strange() if rng.random() < 0.4 else rng.choice(["article", "main", 'div class="content"', 'div class="post"', 'div id="content"', 'article class="post"', "main><article", 'div class="article-body"', 'section class="entry-content"'])
     parts.append(f"<{body}>")
     for i, text in enumerate(main):
         put("h1" if i == 0 and rng.random() < 0.6 else rng.choice(["p"] * 8 + ["h2", "blockquote", "li", "pre"]), text, True)
@@ -406,15 +450,20 @@ def dress(main: list[str], frame: list[str], rng: random.Random) -> tuple[str, s
 
 
 def labelled(pages: list[str], seed: int = 11) -> tuple[list[list[Block]], list[list[int]]]:
-    """The pages with their blocks' labels, and each dressed anew twice."""
+    """The pages that mark their main part, with their blocks' labels, and each page dressed anew twice. Of a page
+    without an article or main tag the place tells nothing: only its densest text is dressed."""
     rng, blocks, labels = random.Random(seed), [], []
     for page in pages:
         found = leaf_blocks(page)
-        places = [label_by_place(b) for b in found]
-        blocks.append(found)
-        labels.append(places)
-        main = [b.text for b, y in zip(found, places) if y]
-        frame = [b.text for b, y in zip(found, places) if not y]
+        if any(tag in BODY_TAGS for b in found for tag, _ in b.path):
+            places = [label_by_place(b) for b in found]
+            blocks.append(found)
+            labels.append(places)
+            main = [b.text for b, y in zip(found, places) if y]
+            frame = [b.text for b, y in zip(found, places) if not y]
+        else:
+            main = densest_run(found)
+            frame = [b.text for b in found if b.text not in main]
         for _ in range(2):
             if main:
                 made, good = dress(main[: rng.randint(1, 12)], frame or main, rng)
@@ -425,10 +474,21 @@ def labelled(pages: list[str], seed: int = 11) -> tuple[list[list[Block]], list[
 
 
 def fit(df: DataFrame, key: str = "page_id", page: str = "html", at_most: int = MAX_TRAIN) -> Chain:
-    """A chain trained on at most so many pages of the table; they alone reach the driver."""
-    ids = df.select(F.col(key).alias("k")).distinct().orderBy(F.xxhash64("k"), "k").limit(at_most)
-    rows = df.select(F.col(key).alias("k"), F.col(page).alias("page")).join(F.broadcast(ids), "k").limit(2 * at_most).collect()
-    pages = [r.page for r in sorted(rows, key=lambda r: (r.k is not None, r.k, r.page or "")) if r.page]
+    """A chain trained in one task on at most so many pages of the table, one for each drawn id; only its weights
+    reach the driver."""
+    ids = df.select(F.col(key).alias("k")).filter("k IS NOT NULL").distinct().orderBy(F.xxhash64("k"), "k").limit(at_most)
+    rows = df.select(F.col(key).alias("k"), F.col(page).cast("string").alias("page")).join(F.broadcast(ids), "k")
+    one = rows.groupBy("k").agg(F.min("page").alias("page")).repartition(1).sortWithinPartitions("k")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages = [p for batch in batches for p in batch.column(batch.schema.get_field_index("page")).to_pylist() if p]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(of_pages(pages))], pa.binary())], names=["chain"])
+
+    found = one.mapInArrow(learn, "chain binary").collect()
+    return pickle.loads(found[0].chain) if found else of_pages([])
+
+
+def of_pages(pages: list[str]) -> Chain:
     blocks, labels = labelled(pages)
     shape = Featurizer()
     return train([shape.of_page(b) for b in blocks], labels)
