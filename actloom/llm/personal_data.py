@@ -42,12 +42,18 @@ DOT = r"(?:\.|[\[(]\s?dot\s?[\])]|(?<=\s)dot(?=\s))"
 SITES = re.compile(rf"[0-9@＠]+|[\[(]\s?at\s?[\])]|(?<=[\w.%+-]\s)at(?=\s[\w-]+\s?{DOT}\s?[\w-])", re.I)
 HOST = re.compile(rf"\s?[\w-]+(?:\s?{DOT}\s?[\w-]+)*", re.I)
 
+AT_SIGN = re.compile(r"[@＠]|[\[(]\s?at\s?[\])]|(?<=\s)at(?=\s)", re.I)
+#: A host to its end: a plain dot stands between its parts without blanks, so a sentence's end doesn't go on.
+WHOLE_HOST = re.compile(r"\s?[\w-]+(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?|\sdot\s)[\w-]+)+", re.I)
+GROUP_BEFORE = re.compile(r"(?<![0-9])([0-9]{1,4})[\s()./_–-]{1,3}\Z")
+GROUP_AFTER = re.compile(r"[\s()./_–-]{1,3}[0-9]{1,4}(?![0-9])")
+
 #: Documents that are fitted on, drawn evenly by a hash of the id.
 MAX_TRAIN = 600
 #: Windows, rules' spans and other sites of a training document, drawn evenly from the whole of it.
 TRAIN_WINDOWS, TRAIN_SPANS, TRAIN_SITES = 20, 6, 12
 WINDOW, STRIDE, MARGIN = 96, 48, 28
-EMBED, HIDDEN, BATCH, STEPS, RATE = 12, 16, 64, 260, 0.01
+EMBED, HIDDEN, BATCH, STEPS, RATE = 12, 24, 64, 380, 0.015
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 Span = tuple[int, int, int]  # start, end, kind
 
@@ -261,6 +267,28 @@ def train(samples: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS, seed
 # Labelled spans ------------------------------------------------------------------------------------------
 
 
+def fresh(kind: int, rng: random.Random) -> str:
+    """Personal data that nobody has, in a form of the base rules; what a kind looks like must not hang on the names,
+    hosts and numbers of the table."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def word(most: int = 4) -> str:
+        w = "".join(rng.choice("bcdfghjklmnprstvwz") + rng.choice("aeiouy") for _ in range(rng.randint(1, most)))
+        return w + rng.choice(["", "", rng.choice("nrst"), digits(rng.randint(1, 3))])
+
+    if kind == 0:
+        name = rng.choice(["", "", word() + rng.choice("._-+")]) + word()
+        ends = ["com", "org", "net", "io", "de", "fr", "co.uk", "edu", "info", "example.com", "example.org", word(1)]
+        hosts = [rng.choice([word(), word() + "-" + word(2)]) for _ in range(rng.choice([1, 1, 1, 2]))]
+        return name + "@" + ".".join([*hosts, rng.choice(ends)])
+    if kind == 1:
+        return ".".join(str(rng.randint(0, 255)) for _ in range(4))
+    if kind == 2:
+        body = rng.choice("3456") + digits(rng.choice([13, 14, 14, 14, 14]))
+        return body + next(d for d in "0123456789" if luhn(body + d))
+    return "+" + rng.choice(["1", "1", "44", "49", "33", "7"]) + " " + digits(3) + " " + digits(3) + " " + digits(4)
+
+
 def rewritten(kind: int, text: str, rng: random.Random) -> str:
     """The same personal data in a form that the base rules don't know."""
     if kind == 0:
@@ -319,7 +347,7 @@ def training_windows(texts: list[str], seed: int = 17, each: int = TRAIN_SPANS)
         return out
 
     def add(before: str, mid: str, after: str, kind: int | None):
-        before, after = before[-rng.randint(0, MARGIN):], after[: rng.randint(0, MARGIN)]
+        before, after = before[max(0, len(before) - rng.randint(0, MARGIN)) :], after[: rng.randint(0, MARGIN)]
         spans = [] if kind is None else [(len(before), len(before) + len(mid), kind)]
         whole = before + mid + after
         spans += [s for s in base_spans(whole) if s[1] <= len(before) or s[0] >= len(before) + len(mid)]
@@ -329,8 +357,12 @@ def training_windows(texts: list[str], seed: int = 17, each: int = TRAIN_SPANS)
         spans = drawn(base_spans(text), each, rng)
         for a, b, kind in spans:
             add(text[:a], text[a:b], text[b:], kind)
+            for source in (text[a:b], fresh(kind, rng), fresh(kind, rng)):
+                add(text[:a], rewritten(kind, source, rng), text[b:], kind)
+        for kind in range(len(KINDS)):  # every kind alike, however rare it is in the table
             for _ in range(2):
-                add(text[:a], rewritten(kind, text[a:b], rng), text[b:], kind)
+                cut = text.find(" ", rng.randrange(len(text) + 1)) + 1
+                add(text[:cut], rewritten(kind, fresh(kind, rng), rng), rng.choice([" ", " ", ". ", ", "]) + text[cut:], kind)
         sites = drawn([m.start() for m in SITES.finditer(text)], TRAIN_SITES, rng)
         for at in [*sites, *(rng.randrange(len(text) + 1) for _ in range(2))]:
             w = text[max(0, at - MARGIN) : at + WINDOW - MARGIN]
@@ -405,6 +437,55 @@ def reconciled(windows: list[tuple[int, int]], tags: list[np.ndarray]) -> list[S
     return [tuple(s) for s in out]
 
 
+def whole(kind: int, text: str, a: int, b: int) -> tuple[int, int]:
+    """A decoded span grown to the ends of what it is part of: an address to its whole name and host, a number to
+    whole groups of digits, as few as make it one."""
+    if kind == 0:
+        for m in AT_SIGN.finditer(text, max(0, a - 9), min(len(text), b + 9)):
+            if m.end() < a - 1 or m.start() > b + 1:
+                continue
+            start = m.start() - (m.start() > 0 and text[m.start() - 1].isspace())
+            name = start
+            while name and (text[name - 1].isalnum() or text[name - 1] in "_.%+-"):
+                name -= 1
+            host = WHOLE_HOST.match(text, m.end())
+            if host and name < start:
+                return name, host.end()
+        return a, b
+    while b > a and not text[b - 1].isdigit():
+        b -= 1
+    while a < b and not (text[a].isdigit() or kind == 3 and text[a] in "(+"):
+        a += 1
+    while a and text[a].isdigit() and text[a - 1].isdigit():
+        a -= 1
+    while a < b < len(text) and text[b].isdigit():
+        b += 1
+    if a == b:
+        return a, b
+
+    def good(x: int, y: int) -> bool:
+        piece = text[x:y]
+        enough = kind != 3 or len(DIGITS.findall(piece)) >= 10
+        return enough and form(kind, piece) and passes(kind, piece)
+
+    lefts, rights = [a], [b]
+    for _ in range(2):
+        m = GROUP_BEFORE.search(text, max(0, lefts[-1] - 12), lefts[-1])
+        if m:
+            lefts.append(m.start(1))
+        m = GROUP_AFTER.match(text, rights[-1])
+        if m:
+            rights.append(m.end())
+    sizes = sorted((x + y, x, y) for x in range(len(lefts)) for y in range(len(rights)))
+    x, y = next(((lefts[i], rights[j]) for _, i, j in sizes if good(lefts[i], rights[j])), (a, b))
+    if kind == 3:
+        if ")" in text[x:y] and "(" not in text[x:y] and x and text[x - 1] == "(":
+            x -= 1
+        plus = re.search(r"\+[ (]?$", text[max(0, x - 2) : x])
+        x -= len(plus[0]) if plus else 0
+    return x, y
+
+
 def form(kind: int, text: str) -> bool:
     """What a span must look like besides its check: an address has a name and a host, a number enough digits."""
     if not SITES.search(text) or text != text.strip() or "\n" in text:
@@ -439,8 +520,10 @@ def added_spans(texts: list[str], base: list[list[Span]], net: Network | None, b
         if not any(tags[j].any() for j in mine):
             continue
         for a, b, kind in reconciled([where[j][1] for j in mine], [tags[j] for j in mine]):
+            a, b = whole(kind, texts[i], a, b)
             piece = texts[i][a:b]
-            if form(kind, piece) and passes(kind, piece) and not any(a < y and x < b for x, y, _ in base[i]):
+            taken = (*base[i], *out[i])
+            if form(kind, piece) and passes(kind, piece) and not any(a < y and x < b for x, y, _ in taken):
                 out[i].append((a, b, kind))
     return out
 
