@@ -802,15 +802,18 @@ def missing_fields(wide: DataFrame) -> DataFrame:
 
 
 def out_of_catalog(annotation: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Accepted values outside the declared list of a categorical or binary field.
+    """Accepted values outside the declared list of a closed field; the items of a list are values each.
 
-    ``catalog`` is a small dimension (one row per field); it joins on ``path``.
+    ``catalog`` (``path, kind, allowed_values``) has a row per schema field; its allowed values take away what is
+    allowed by an anti join on path and value.
     """
-    return (
-        annotation.filter("accepted")
-        .join(catalog.filter(F.size("allowed_values") > 0), "path")
-        .filter(~F.array_contains("allowed_values", F.col("value_key")))
-        .select("doc_id", "path", "value")
+    closed = catalog.filter(F.size("allowed_values") > 0)
+    allowed = closed.select("path", F.explode("allowed_values").alias("v")).select("path", semantic_key(F.col("v")).alias("key"))
+    values = F.when(F.col("kind") == "list", F.from_json("value", "array<string>")).otherwise(F.array("value"))
+    rows = annotation.filter("accepted").join(closed.select("path").distinct(), "path", "left_semi")
+    stated = rows.select("doc_id", "path", F.explode(values).alias("value")).withColumn("key", semantic_key(F.col("value")))
+    return stated.join(allowed.distinct(), ["path", "key"], "left_anti").select(
+        "doc_id", "path", "value", F.lit("value_not_in_catalogue").alias("reason")
     )
 
 
@@ -978,17 +981,22 @@ def refill_tasks(missing: DataFrame, conflicts: DataFrame, logic: DataFrame) ->
     )
 
 
-def audit_responses(responses: DataFrame, headers: DataFrame | None = None, docs: DataFrame | None = None) -> Audit:
-    """Whole audit: answers -> sections -> features -> merge -> checks -> status."""
+def audit_responses(
+    responses: DataFrame, headers: DataFrame | None = None, docs: DataFrame | None = None, catalog: DataFrame | None = None
+) -> Audit:
+    """Whole audit: answers -> sections -> features -> merge -> checks -> status. With a catalogue of the schema,
+    values that it doesn't list are structural warnings."""
     answers = cut_lineage(read_answers(responses))
     sections = section_rows(answers)
     features = features_from_sections(sections)
     if headers is not None:
         features = metadata_features(headers).unionByName(features)
     base = docs if docs is not None else responses
-    return audit_merged(
-        merge_features(features), base, structural_warnings(sections), extractor_errors(answers)
-    )
+    merged, warnings = merge_features(features), structural_warnings(sections).drop("extractor")
+    if catalog is not None:
+        unlisted = out_of_catalog(merged.annotation, catalog)
+        warnings = warnings.unionByName(unlisted.select("doc_id", F.concat(F.lit("annotation."), "path").alias("path"), "reason"))
+    return audit_merged(merged, base, warnings, extractor_errors(answers))
 
 
 # ------------------------------------------------------------------ refinement

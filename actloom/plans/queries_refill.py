@@ -73,9 +73,31 @@ def reaudit_changes(spark, sf_dir):
     return _second(spark, sf_dir)[1]
 
 
+def refinement_stats(spark, sf_dir):
+    """Outcomes of the refill answers of each act."""
+    first = AU.audit_responses(CO.act_answers(spark, sf_dir))
+    return AU.refinement_stats(AU.apply_refinements(first.annotation, CO.act_refinements(spark, sf_dir)))
+
+
+#: Closed fields of the check below with their values.
+CATALOG = (
+    ("claim.claim_type", ("loan", "supply", "unknown")), ("creditor_profile.creditor_status", ("Affiliated",)),
+    ("proof.court_doubted_reality", ("yes", "NO")), ("qualification.key_reason_category", ()),
+)
+
+
+def out_of_domain(spark, sf_dir):
+    """Structural warnings for values that the schema's catalogue doesn't list."""
+    catalog = spark.createDataFrame([(p, "categorical", list(v)) for p, v in CATALOG], "path string, kind string, allowed_values array<string>")
+    audit = AU.audit_responses(CO.act_answers(spark, sf_dir), catalog=catalog)
+    return audit.issues.filter("kind = 'structural_warning'").select("doc_id", "path", "reason")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (keyword_context, context_stats, context_requests, refill_tasks, second_audit, reaudit_changes)
+    for f in (
+        keyword_context, context_stats, context_requests, refill_tasks, second_audit, reaudit_changes, refinement_stats, out_of_domain,
+    )
 }
 
 
@@ -167,4 +189,12 @@ FROM (SELECT c_custkey AS doc_id, c_custkey % 5 = 4 OR (c_custkey % 5 > 1 AND c_
 SELECT c_custkey AS doc_id, 'needs_refill' AS initial_status,
   CASE WHEN c_custkey % 5 = 4 OR c_custkey % 7 = 0 THEN 'needs_refill' ELSE 'complete_with_warnings' END AS final_status
 FROM customer WHERE c_custkey % 5 > 1""",
+    "refinement_stats": """
+SELECT c_custkey AS doc_id, 1::BIGINT AS results_count, 1::BIGINT AS target_paths_count,
+  (c_custkey % 7 <> 0 AND c_custkey % 5 < 4)::BIGINT AS accepted_count, (c_custkey % 7 <> 0 AND c_custkey % 5 = 4)::BIGINT AS rejected_count,
+  0::BIGINT AS skipped_count, (c_custkey % 7 = 0)::BIGINT AS error_count
+FROM customer WHERE c_custkey % 5 > 1""",
+    "out_of_domain": """
+SELECT c_custkey AS doc_id, 'annotation.creditor_profile.creditor_status' AS path, 'value_not_in_catalogue' AS reason FROM customer
+UNION ALL SELECT c_custkey, 'annotation.claim.claim_type', 'value_not_in_catalogue' FROM customer WHERE c_custkey % 5 < 2""",
 }
