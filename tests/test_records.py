@@ -218,3 +218,11 @@ def test_repeated_keys_keep_the_last_value(spark):
     )
     got = AU.read_answers(rows).first()
     assert got.parse_error is None and '"2"' in got.answer
+
+
+def test_conflicts_parse_the_answers_once(spark):
+    """The flagged features stand on both sides of the join; parsing is not part of its plan twice."""
+    from actloom.plans.queries_records import feature_conflicts
+
+    plan = feature_conflicts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "parse_json" not in plan
