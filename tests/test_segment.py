@@ -141,3 +141,35 @@ def test_no_python_in_plan(spark):
     assert plan.count("Exchange") == 1
     stage = annotation_stage(pages).docs._jdf.queryExecution().executedPlan().toString()
     assert "FileScan parquet" in stage and not re.search("Python|Arrow|Exchange", stage)
+
+
+def test_guards_change_no_text(spark):
+    """Tests in front of costly passes: the result is that of the plain passes, on every mix of odd pieces."""
+    from actloom.functions import cleaning as C
+    from actloom.lexicon import ru_acts as RU
+    from actloom.operators import tagging as TA
+
+    pieces = [
+        "статьи 71 АПК РФ", "Ст. 5 ГК РФ", "определение ВС РФ", "как следует из материалов дела", "в кассационной жалобе",
+        "суд округа полагает", "адрес: Москва", "(,)", "№ 5", "12 3", " ", "  ", "\t", " ", "\x85", "\n", "\n \n", "\n\n\n\n",
+        "\r\n", ",", " ,", "\"", "ООО \" ", "конец.Начало", "гражданскоправовой", "- 5 -", "5/7", "слово",
+    ]
+    rng = random.Random(3)
+    rows = [("".join(rng.choice(pieces) + rng.choice(("", " ")) for _ in range(rng.randint(0, 7))),) for _ in range(1500)]
+    t = F.col("t")
+    plain_space = F.regexp_replace(t, F.lit(r"(?U)\s+"), F.lit(" "))
+    cited = F.lit(False)
+    for _, p in RU.CITATIONS:
+        cited = cited | T.has(t, p)
+    marked = [T.has(t, "|".join(f"(?:{p})" for p in ps), "isu") for ps in (RU.PARTY_MARKERS, RU.STRONG_REASONING_MARKERS, RU.WEAK_REASONING_MARKERS)]
+    flags = SE.marker_flags(t)
+    untidy = F.regexp_like(t, F.lit(C._UNTIDY))
+    pages = C._page_numbers(t).eqNullSafe(T.subs(t, RU.PAGE_NUMBER_LINES, flags="imu"))
+    same = (
+        T.squeeze(t).eqNullSafe(plain_space) & T.two_newlines(t).eqNullSafe(F.regexp_replace(t, F.lit("\n{3,}"), F.lit("\n\n")))
+        & T.one_blank(t).eqNullSafe(F.regexp_replace(t, F.lit("[ \t]+"), F.lit(" "))) & TA.is_tagged(t).eqNullSafe(cited) & pages
+        & flags["party"].eqNullSafe(marked[0]) & flags["strong"].eqNullSafe(marked[1]) & flags["weak"].eqNullSafe(marked[2])
+        & (untidy | C._tidy(t).eqNullSafe(C._unglued(t)))
+    )
+    df = spark.createDataFrame(rows, "t string")
+    assert df.filter(~same).collect() == []
