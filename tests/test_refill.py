@@ -69,3 +69,12 @@ def test_similarity_legs(spark):
         want = SequenceMatcher(None, r.a, r.b).ratio()
         assert abs(r.r - want) < 1e-9 and (r.p or want < 0.92)
     assert [r.c for r in got] == [True, False, False, False]
+
+
+def test_rows_about_acts_are_spread_before_parsing(spark):
+    """A small file of customers or orders is one task; the costly parsing behind it must not be."""
+    from actloom.plans import corpus as CO
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for make in (CO.act_answers, CO.act_replies, CO.act_refinements):
+        assert make(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toRdd().getNumPartitions() == n
