@@ -173,3 +173,24 @@ def test_guards_change_no_text(spark):
     )
     df = spark.createDataFrame(rows, "t string")
     assert df.filter(~same).collect() == []
+
+
+def test_guards_of_cleaning_lose_no_match(spark):
+    """Digits and letters outside the usual ranges, and words beside other signs, reach the patterns."""
+    from actloom.functions import cleaning as C
+    from actloom.lexicon import ru_acts as RU
+
+    pieces = [
+        "дом ", "\u0665", "\u1c82фис", "офис", "\u1c84ел.:", "тел. ", "+7", "8", " 912 345-67-89", "(", ")", ",", "ИНН 5", "ул.", "Мира",
+        "заявителя", "адрес", ":", " ", "\n", "«", "а@b.ru", "www.ru", "e-mail:", "слово", "5",
+    ]
+    rng = random.Random(4)
+    rows = [("".join(rng.choice(pieces) for _ in range(rng.randint(1, 5))),) for _ in range(1500)] + [("дом \u0665",), ("\u1c82фис",)]
+    t = F.col("t")
+    same = (
+        C.contacts(t).eqNullSafe(T.subs(t, RU.CONTACT_PATTERNS)) & C.identifiers(t).eqNullSafe(T.subs(t, RU.IDENTIFIER_PATTERNS))
+        & C.addresses(t).eqNullSafe(T.sub(
+            T.subs(t, (RU.ADDRESS_TO_IDENTIFIER, RU.ADDRESS_TO_SAFE_STOP), flags="isu"), RU.ADDRESS_LINE, flags="imu"))
+    )
+    df = spark.createDataFrame(rows, "t string")
+    assert df.filter(~same).collect() == []
