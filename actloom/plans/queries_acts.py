@@ -177,9 +177,10 @@ def act_blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def act_kept_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sentences(spark, sf_dir)
-    kept = WI.drop_blacklisted(rows, TA.blacklist(TA.reference_hits(rows)), ("court_reasoning",))
-    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))
+    # The flag in the row: a join of sentences with their hits would segment every act twice.
+    docs = TA.mark_cited(SE.split_sentences(_zoned(spark, sf_dir)))
+    kept = F.size(F.filter("sentences", lambda s: (s["zone_type"] == "court_reasoning") & ~s["cited"]))
+    return docs.select("doc_id", kept.cast("bigint").alias("kept")).filter("kept > 0")
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:

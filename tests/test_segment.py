@@ -194,3 +194,10 @@ def test_guards_of_cleaning_lose_no_match(spark):
     )
     df = spark.createDataFrame(rows, "t string")
     assert df.filter(~same).collect() == []
+
+
+def test_kept_sentences_segment_once(spark):
+    from actloom.plans.queries_acts import act_kept_sentences
+
+    plan = act_kept_sentences(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
