@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from actloom.functions import cleaning as C
 from actloom.functions import text as T
 from actloom.functions.arrays import let
 from actloom.functions.sentences import sentence_edge, sentence_spans
@@ -201,3 +202,33 @@ def test_kept_sentences_segment_once(spark):
 
     plan = act_kept_sentences(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_lazy_zone_machine_equals_closed_form(spark):
+    rng = random.Random(7)
+    rows = [(i, [tuple(rng.random() < 0.2 for _ in range(3)) for _ in range(rng.randrange(9))]) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, f array<struct<party:boolean,strong:boolean,weak:boolean>>")
+    out = df.select(let(F.col("f"), SE.zone_starts).alias("a"), SE.zone_starts_of(F.col("f"), lambda x: x).alias("b")).collect()
+    for r in out:
+        assert (r.a.party, r.a.reasoning) == (r.b.party, r.b.reasoning)
+        assert r.a.reasoning is None or r.a.weak == r.b.weak
+
+
+def test_only_what_is_read_is_made(spark):
+    pages = spark.createDataFrame([("d1", 1, P1, None), ("d1", 2, P2, None), ("d1", 3, P3, None)], "doc_id string, page int, text string, tables array<string>")
+    some = segmented(pages, clean=False, sentence_fields=("sentence_id", "zone_id", "zone_type", "page_start", "page_end", "text", "dates", "weak_dates"),
+                     window_fields=("zone_type", "text"))
+    assert "clean_windows" not in some.columns
+    assert "norm_text" not in some.schema["sentences"].dataType.elementType.names
+    assert set(some.schema["windows"].dataType.elementType.names) == {"window_id", "zone_type", "text", "page_start", "sentence_start_global_index"}
+    texts = lambda d: [(r.window_id, r.text) for r in WI.window_rows(d, fields=("window_id", "text")).orderBy("window_id").collect()]
+    assert texts(some) == texts(segmented(pages))
+
+
+def test_lines_that_may_stand_alone(spark):
+    texts = ["а\nб", "а\nсуд установил:\nб", "а\n\nб", "а | б\nв", "Р Е Ш И Л\nа", "решил\nвводная часть\nмотивировочная часть", "постановил\n1; 2; 3; 4; 5\nа", "о п р е д е л и л\nа"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(C.restore_paragraphs(F.col("t"))).collect()]
+    assert got[0] == "а б" and got[1:4] == texts[1:4] and got[5] == texts[5] and got[6] == texts[6] and got[7] == texts[7]
+    odd = spark.createDataFrame([("а​ б﻿\r\n в ",)], "t string").select(T.one_line(F.col("t"))).first()[0]
+    assert odd == "а б в"
