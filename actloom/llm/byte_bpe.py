@@ -25,7 +25,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-from actloom.llm.common import documents, map_rows, narrow
+from actloom.llm.common import documents, kept, map_rows, narrow
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -38,7 +38,6 @@ BEYOND = re.compile(rf"[^\t\n\x0b\x0c\r -~{LATIN}]")
 LATIN_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+")
 ANY_SPLIT = regex.compile(public_tokenizers.PATTERN)
 
-_loaded: dict[str, "Ranks"] = {}
 
 
 def split_text(text: str) -> list[str]:
@@ -75,9 +74,10 @@ class Ranks:
 
 
 def load(path: str) -> Ranks:
-    if path not in _loaded:
-        _loaded[path] = Ranks(path)
-    return _loaded[path]
+    loaded = kept(__name__)
+    if path not in loaded:
+        loaded[path] = Ranks(path)
+    return loaded[path]
 
 
 def left_to_right(places: np.ndarray, after: np.ndarray) -> np.ndarray:

@@ -58,14 +58,31 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What an operator keeps from task to task in a Python worker, by module.
+_kept: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What the operator keeps in this worker."""
+    return _kept.setdefault(owner, {})
+
+
+def release_others(owner: str) -> None:
+    """Workers are reused: drop what other operators have left in this one."""
+    for other in [name for name in _kept if name != owner]:
+        del _kept[other]
+
+
 def map_rows(
     df: DataFrame, schema: str, make: Callable[[], Callable[[dict], dict]], rows_at_once: int = ROWS_AT_ONCE
 ) -> DataFrame:
     """mapInArrow in small blocks. make() runs once per task and returns a function from columns (lists by
     name) to columns (lists or arrays by name); blocks keep a task's memory independent of partition size."""
     fields = [x.strip().split(" ")[0] for x in schema.split(",")]
+    owner = make.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_others(owner)
         work = make()
         for batch in batches:
             for start, end in blocks(batch, rows_at_once):

@@ -13,7 +13,7 @@ import pytest
 from messy import WORDS, by_id, empty, prose, rows, table
 from pyspark.sql import functions as F
 
-from actloom.llm import byte_bpe, personal_data, quality_rules, quality_trees, sharding, text_stats, toxicity
+from actloom.llm import byte_bpe, common, personal_data, quality_rules, quality_trees, sharding, text_stats, toxicity
 
 
 def jump_by_hand(key: int, shards: int) -> int:
@@ -220,6 +220,15 @@ def test_bpe_equals_the_library(spark, rank_file):
         assert byte_bpe.decode(byte_bpe.token_ids(t, rank_file), rank_file) == t.encode()
 
 
+def test_workers_drop_what_other_operators_keep(spark, rank_file):
+    common.kept("tests")["x"] = 1
+    loaded = byte_bpe.load(rank_file)
+    common.release_others(byte_bpe.__name__)
+    assert "x" not in common.kept("tests") and byte_bpe.load(rank_file) is loaded
+    common.release_others("tests")
+    assert byte_bpe.load(rank_file) is not loaded
+
+
 def test_bpe_waits_for_lower_ranks():
     """Ranks in which a merge makes a pair of still lower rank: fast and slow replay agree with encoding alone."""
     ranks = byte_bpe.Ranks.__new__(byte_bpe.Ranks)
