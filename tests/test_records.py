@@ -226,3 +226,16 @@ def test_conflicts_parse_the_answers_once(spark):
 
     plan = feature_conflicts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json" not in plan and "parse_json" not in plan
+
+
+def test_only_the_named_half_of_a_reply_is_parsed(spark):
+    from actloom.operators import cards as CARDS
+
+    text = "ENTITY_MAP:\nООО А — кредитор\nCARD_BLOCKS:\n[send_to: claimAndDealCard]\n- Договор подписан.\n"
+    df = spark.createDataFrame([(text, "w1")], "t string, w string")
+    both, cards, names = (
+        df.select(CARDS.parse_reply(F.col("t"), F.col("w"), *p).alias("p")).first().p
+        for p in ((), (("cards",),), (("entities",),))
+    )
+    assert cards.cards == both.cards and "entities" not in cards.asDict()
+    assert names.entities == both.entities and "cards" not in names.asDict()
