@@ -112,7 +112,11 @@ def act_cleaning_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _zoned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SE.split_zones(SE.assemble(SE.clean_pages(SE.gather_pages(CO.act_pages(spark, sf_dir)))))
+    return _zoned_pages(CO.act_pages(spark, sf_dir))
+
+
+def _zoned_pages(pages: DataFrame) -> DataFrame:
+    return SE.split_zones(SE.assemble(SE.clean_pages(SE.gather_pages(pages))))
 
 
 def act_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,8 +161,11 @@ def act_sentences_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def act_first_dated_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sentences(spark, sf_dir, ("sentence_id", "global_index", "text", "dates", "weak_dates"))
-    top = SE.first_dated_sentences(rows, 100)
+    fields = ("sentence_id", "global_index", "text", "dates", "weak_dates")
+    rows = lambda pages: SE.dated_sentences(
+        SE.sentence_rows(SE.split_sentences(_zoned_pages(pages), fields=fields), fields), include_weak=True
+    )
+    top = SE.first_dated_sentences(SE.leading_rows(CO.act_pages(spark, sf_dir), rows, 100), 100)
     return top.select("doc_id", "sentence_id", "text")
 
 
@@ -225,7 +232,10 @@ def act_window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def act_first_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return WI.first_windows(WI.window_rows(_windows(spark, sf_dir, ("text",)), fields=("window_id", "text")))
+    rows = lambda pages: WI.window_rows(
+        segmented(pages, clean=False, sentence_fields=_WINDOWED_FIELDS, window_fields=("text",)), fields=("window_id", "text")
+    )
+    return WI.first_windows(SE.leading_rows(CO.act_pages(spark, sf_dir), rows, 120), 120)
 
 
 def act_windows_text(spark: SparkSession, sf_dir: str) -> DataFrame:

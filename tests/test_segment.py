@@ -232,3 +232,30 @@ def test_lines_that_may_stand_alone(spark):
     assert got[0] == "а б" and got[1:4] == texts[1:4] and got[5] == texts[5] and got[6] == texts[6] and got[7] == texts[7]
     odd = spark.createDataFrame([("а​ б﻿\r\n в ",)], "t string").select(T.one_line(F.col("t"))).first()[0]
     assert odd == "а б в"
+
+
+def test_leading_rows_stop_early_and_fall_back(spark):
+    pages = spark.createDataFrame([(i, 1, "x") for i in range(100)] + [(None, 1, "y")], "doc_id int, page int, text string")
+    seen = []
+
+    def rows_of(p):
+        seen.append(p.count())
+        return p.filter("doc_id % 10 = 9")
+
+    got = SE.leading_rows(pages, rows_of, 5, documents_a_row=1).orderBy("doc_id").limit(5)
+    assert seen == [5, 101] and [r["doc_id"] for r in got.collect()] == [9, 19, 29, 39, 49]
+    seen.clear()
+    got = SE.leading_rows(pages, rows_of, 5, documents_a_row=12).orderBy("doc_id").limit(5)
+    assert seen == [60] and [r["doc_id"] for r in got.collect()] == [9, 19, 29, 39, 49]
+
+
+def test_guards_on_bytes(spark):
+    texts = ["", " ", "\xa0а ", "а.", "а.\n", "　.", ".", "а \nб", "№ «а»", "\x1cа\x1f", "а​б"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(
+        "t", T.strip(F.col("t")).alias("s"), T.strip(F.col("t"), " .").alias("d"), T.may_hold(F.col("t"), "\xa0 ​").alias("m")
+    ).collect()
+    for r in got:
+        assert r["s"] == r["t"].strip(T.WHITESPACE) and r["d"] == r["t"].strip(" .")
+        assert r["m"] or not set("\xa0 ​") & set(r["t"])
+    assert not {r["t"]: r["m"] for r in got}["а \nб"]
