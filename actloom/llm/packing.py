@@ -19,7 +19,9 @@ are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,8 +33,17 @@ from actloom.llm.sharding import gapless
 LIMIT = 4096
 END = 1
 #: Characters of stretches that a worker remembers, and the longest stretch worth it.
-REMEMBER_CHARS = 9_000_000
+REMEMBER_CHARS = 10_000_000
 LONG_STRETCH = 200
+#: Stretches are handed to the library in lines of so many, each followed by a mark: a control character, which is a
+#: token of its own between blanks.
+CORES_A_LINE = 128
+MARK = "\x01"
+#: Letters whose lower case is one letter in every version of Unicode, composed and without context.
+PLAIN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿА-яЁё]+").fullmatch
+#: Bytes as the letters that stand for them in byte-level vocabularies; printable ones stand for themselves.
+_HIDDEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
 #: Ranks are counted in blocks of about so many rows of a length, in at least so many blocks.
 ROWS_A_BLOCK = 200_000
 LEAST_BLOCKS = 256
@@ -51,6 +62,8 @@ class Stretches:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
         self.chars = 0
 
@@ -72,11 +85,40 @@ class Stretches:
     def learn(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of stretches; the library sees each core once, and only cores that aren't known."""
         parts = {w: core_and_tail(w) for w in missing}
-        new = list({x for two in parts.values() for x in two if x not in self.known})
-        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        ids = {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(new, encoded)}
-        find = lambda x: ids[x] if x in ids else self.known[x]
-        return ids | {w: find(core) + find(tail) for w, (core, tail) in parts.items()}
+        known = self.known
+        new = {x for two in parts.values() for x in two if x not in known}
+        ids = self.encoded(list(new))
+        found = {w: (ids[c] if c in ids else known[c]) + (ids[t] if t in ids else known[t]) for w, (c, t) in parts.items()}
+        return ids | found
+
+    def encoded(self, cores: list[str]) -> dict[str, bytes]:
+        """Ids by the library. Words of plain letters go to its model at once: lower case and the byte alphabet are
+        all that stands before it. A call for the others has its price, so they go in lines, with a mark of one
+        token between blanks after each. A core that holds the mark goes alone."""
+        out: dict[str, bytes] = {}
+        tokens, plain = self.model.tokenize, []
+        for x in cores:
+            if not PLAIN_WORD(x):
+                plain.append(x)
+                continue
+            low = x.lower()
+            letters = low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_LETTERS)
+            out[x] = array("I", [t.id for t in tokens(letters)]).tobytes()
+        cores, plain = plain, [x for x in plain if MARK not in x]
+        lines = [plain[i : i + CORES_A_LINE] for i in range(0, len(plain), CORES_A_LINE)]
+        made = self.tokenizer.encode_batch_fast(["".join([f"{x} {MARK} " for x in line]) for line in lines], add_special_tokens=False)
+        for line, e in zip(lines, made):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(ids == self.mark)
+            if len(ends) != len(line):
+                raise ValueError("a line of stretches has not as many marks as stretches")
+            raw, ends = ids.tobytes(), (4 * ends).tolist()
+            out.update(zip(line, [raw[a:b] for a, b in zip([0, *[x + 4 for x in ends]], ends)]))
+        if len(plain) < len(cores):
+            alone = [x for x in cores if MARK in x]
+            made = self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)
+            out.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(alone, made))
+        return out
 
 
 def spaced(text: str) -> str:
@@ -90,6 +132,8 @@ def core_and_tail(stretch: str) -> tuple[str, str]:
     a token of its own. Plain ASCII is lowered here as the tokenizer would (not what may name a special token)."""
     if "|" not in stretch and stretch.isascii():
         stretch = stretch.lower()
+    if not stretch or stretch[-1] not in TAIL:
+        return stretch, ""
     core = stretch.rstrip(TAIL)
     if core and core[-1].isascii() and core[-1].isalpha():
         return core, stretch[len(core) :]

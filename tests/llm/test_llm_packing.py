@@ -112,3 +112,14 @@ def test_stretches_equal_the_library():
     for _ in range(1500):
         text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
         assert [*np.frombuffer(stretches.encode([text])[0], "<u4").tolist(), 1] == library_ids(text)
+
+
+def test_words_and_marked_lines_give_the_ids_of_the_library():
+    import public_tokenizers
+
+    stretches = packing.Stretches(str(public_tokenizers.path("word_bpe_49k.json")))
+    parts = ["word", "Слово", "Й", "Ärger", "é", "e\u0301", "Σ", "İ", "\x01", "a\x01b", "12", "a-b,", "<|endoftext|>", "", "漢", "\u0301", "×"]
+    texts = parts + [a + b for a in parts for b in parts] + [" ".join(parts)]
+    for text, ids in zip(texts, stretches.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == stretches.tokenizer.encode(text, add_special_tokens=False).ids
+    assert packing.PLAIN_WORD("Слово") and not packing.PLAIN_WORD("Σ") and not packing.PLAIN_WORD("a×b")
