@@ -76,3 +76,29 @@ def test_settled_values_are_their_own_keys(spark):
         (T.audit_key(t) == T.normalize(t, fold=True)).alias("key"), (T.is_blank(t) == (T.audit_text(t) == "")).alias("blank")
     ).collect()
     assert all(r.key and r.blank for r in got)
+
+
+def test_refinements_by_shape_and_in_one_pass(spark, monkeypatch):
+    f = '{"value":"%s","evidence_quote":"%s","evidence_source":"zone=x","confidence":"high"}'
+    texts = ['{"claim":{"claim_type":%s}}' % (f % v) for v in (("loan", "ц"), ("unknown", "ц"), ("loan", ""), ("5", "ц"))]
+    texts += ['{"claim":{"claim_type":"plain"}}', '{"claim":[]}', "[]", "[1]", "", "no", '{"annotation":%s}' % texts[0], '{"claim":{"other":%s}}' % (f % ("a", "b"))]
+    r = _answers(spark, texts).withColumns({
+        "extraction_type": F.lit("x"),
+        "target_paths": F.array(*[F.lit(p) for p in ("annotation.claim.claim_type", "proof.a", "economic_dispute.b")]),
+    })
+    held = spark.createDataFrame([(0, "proof.a", True)], "doc_id int, path string, accepted boolean")
+
+    def rows():
+        return sorted(map(str, AU.apply_refinements(held, r).collect()))
+
+    fast = rows()
+    monkeypatch.setattr(A, "regular", lambda found: F.lit(None).cast(f"map<string,{A.FIELDS}>"))
+    assert fast == rows() and sum("outcome='accepted'" in x for x in fast) == 3
+
+
+def test_refinements_merge_the_annotation_once(spark):
+    """Candidates are looked at twice; the merged answers behind them stand in a stage table."""
+    from actloom.plans.queries_records import refinement_outcomes
+
+    plan = refinement_outcomes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "lineitem" not in plan
