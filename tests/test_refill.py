@@ -78,3 +78,12 @@ def test_rows_about_acts_are_spread_before_parsing(spark):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for make in (CO.act_answers, CO.act_replies, CO.act_refinements):
         assert make(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toRdd().getNumPartitions() == n
+
+
+def test_tasks_keep_their_place_when_they_get_profiles(spark):
+    """No shuffle by path or section: their few values would gather the tasks of all documents."""
+    tasks = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("claim.claim_type").alias("path"))
+    out = RE.with_profiles(tasks, RE.default_profiles(spark))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(path" not in plan and "SortMergeJoin" not in plan
+    assert out.filter(F.size("profile.keywords") > 0).count() == 100
