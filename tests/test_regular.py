@@ -102,3 +102,10 @@ def test_refinements_merge_the_annotation_once(spark):
 
     plan = refinement_outcomes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json" not in plan and "lineitem" not in plan
+
+
+def test_evidence_warnings_parse_the_answers_once(spark):
+    from actloom.plans.queries_records import evidence_warnings
+
+    plan = evidence_warnings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan
